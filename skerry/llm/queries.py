@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import boilerplate, chunking, distinctive, fusion
+from skerry.llm import boilerplate, chunking, distinctive, fusion, mixing, packing, quality
 from skerry.runtime import table
 
 
@@ -46,5 +46,37 @@ def p7_questions(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.question_overlap(table(spark, d, "eval_narrative"), table(spark, d, "chunks"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_sizes(table(spark, d, "documents")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_containers(spark, d).filter("piece_no = 1").select("doc_id")
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_shares(spark, d).filter("capped").select("source")
+
+
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classified(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_classes(spark, d).filter("text_class <> 'prose'").select("doc_id")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
