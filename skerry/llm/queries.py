@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import boilerplate, chunking, distinctive, fusion, mixing, neighbours, packing, quality
+from skerry.llm import boilerplate, chunking, distinctive, fusion, mixing, neardup, neighbours, packing, quality
 from skerry.runtime import table
 
 
@@ -25,6 +25,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.pieces(table(spark, d, "chunks"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.close_pairs(table(spark, d, "chunks"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "chunks"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.close_pairs(table(spark, d, "vectors"))
 
