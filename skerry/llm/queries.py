@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import boilerplate, chunking, distinctive, fusion, mixing, neardup, neighbours, packing, quality
+from skerry.llm import boilerplate, chunking, distinctive, fusion, lookalike, mixing, neardup, neighbours, packing, quality
 from skerry.runtime import table
 
 
@@ -41,6 +41,14 @@ def p4_similar(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar(table(spark, d, "vectors"), every=100)
 
 
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.consistent(lookalike.texts_of(table(spark, d, "chunks"), table(spark, d, "eval_narrative")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_texts(spark, d).filter("n_changed > 0").select("tbl", "record_id").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.repeated_lines(table(spark, d, "chunks"))
 
