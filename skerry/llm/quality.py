@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.llm.shingles import portions
 from skerry.runtime import staged
 
 #: Common words of English, French, German and Spanish (fixed values).
@@ -30,69 +30,157 @@ STATS = (
 )
 CLASSES = ("prose", "list", "table", "junk")
 
-_word = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_token = re.compile(r"\S+")
 _bullet = re.compile(r"^\s*(?:[-*•‣–—·o]\s|\(?[0-9a-zA-Z]{1,3}[.)]\s)", re.M)
-_separator = re.compile(r"[|;\t]| {3,}|,(?=\S)")
 _stop = re.compile(r"[.!?…](?=[\s\"'”»)]|$)")
-_sentence_end = re.compile(r"[.!?…:]['\"”»)]*\s*$")
-_symbol = re.compile(r"[^\w\s.,;:!?'\"()’“”«»%$€£-]")
-_odd = re.compile(r"[ÃÂâ][\x80-\xbfÃÂ‚ƒ„…†‡ˆ‰Š‹Œ-ž–—‘’“”€]|�")
-_inner = re.compile(r"(?<=[^\W\d_])[^\w\s'’–—-](?=[^\W\d_])")
-_upper = re.compile(r"[A-Z]")
-_digit = re.compile(r"\d")
-
-
-def statistics(text: str) -> list[float]:
-    """The figures named in ``STATS``, of one text that isn't blank. A very long text costs time in proportion."""
-    n = len(text)
-    lines = [x for x in text.split("\n") if x.strip()]
-    words = _word.findall(text)
-    tokens = _token.findall(text)
-    w, t, k = len(words), len(tokens), len(lines)
-    low = [x.lower() for x in words]
-    common = sum(x in COMMON for x in low)
-    stops = len(_stop.findall(text))
-    distinct = len(set(low))
-    pairs = len(set(zip(low, low[1:])))
-    numbers = sum(x[-1].isdigit() or x[0].isdigit() for x in tokens)
-    tail = sum(1 for x in tokens if len(x) > 20)
-    ended = sum(1 for x in lines if _sentence_end.search(x))
-    few = sum(1 for x in lines if x.count(" ") < 6)
-    return [
-        math.log1p(w),
-        (sum(map(len, words)) / w) if w else 0.0,
-        len(_symbol.findall(text)) / n,
-        len(_digit.findall(text)) / n,
-        len(_upper.findall(text)) / n,
-        math.log1p(40.0 * common / w) if w else 0.0,
-        ended / k,
-        math.log1p(t / k),
-        few / k,
-        math.log1p(10.0 * len(_separator.findall(text)) / t),
-        len(_bullet.findall(text)) / k,
-        distinct / math.sqrt(2.0 * w) if w else 0.0,
-        tail / t,
-        math.log1p(100.0 * len(_odd.findall(text)) / n),
-        math.log1p(w / max(1, stops)),
-        numbers / t,
-        pairs / max(1, w - 1),
-        math.log1p(100.0 * sum(1 for x in words if len(x) == 1) / max(1, w)),
-        math.log1p(100.0 * len(_inner.findall(text)) / max(1, w)),
+LETTER, DIGIT, SPACE, UPPER, SYMBOL, END, CLOSE, TRAIL = (np.uint8(1 << i) for i in range(8))
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Kinds and lower case of the code points under 0x3000."""
+    kind, low = np.zeros(0x3000, np.uint8), np.arange(0x3000, dtype=np.uint32)
+    for i in range(0x3000):
+        ch = chr(i)
+        cat = unicodedata.category(ch)
+        k = 0
+        if cat[0] == "L":
+            k |= LETTER
+            if len(ch.lower()) == 1:
+                low[i] = ord(ch.lower())
+        elif cat == "Nd":
+            k |= DIGIT
+        elif ch.isspace():
+            k |= SPACE
+        elif ch not in ".,;:!?'\"()’“”«»%$€£-_" and cat[0] not in "NM":
+            k |= SYMBOL
+        if "A" <= ch <= "Z":
+            k |= UPPER
+        if ch in ".!?…:":
+            k |= END
+        if ch in "'\"”»)":
+            k |= CLOSE
+        if 0x80 <= i <= 0xBF or ch in "‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ€":
+            k |= TRAIL
+        kind[i] = k
+    return kind, low
+
+
+_KIND, _LOW = _classes()
+_POWER = np.cumprod(np.concatenate([[1], np.full(255, 0x100000001B3)]).astype(np.uint64))
+
+
+def _hashes(cp: np.ndarray, pos: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of characters: ``pos`` are their characters' places, ``length`` their lengths."""
+    begin = np.cumsum(length) - length
+    inside = (np.arange(len(pos)) - np.repeat(begin, length)) & 255
+    h = np.add.reduceat((cp[pos].astype(np.uint64) + np.uint64(7)) * _POWER[inside], begin) + length.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_hash(word: str) -> int:
+    cp = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+    return int(_hashes(cp, np.arange(len(cp)), np.array([len(cp)]))[0])
+
+
+_COMMON = np.array(sorted(map(_word_hash, COMMON)), np.uint64)
+
+
+def statistics(texts: list[str]) -> np.ndarray:
+    """A row of the figures named in ``STATS`` for each text, none of them blank; array operations over all texts' characters."""
+    n = len(texts)
+    joined = "\n".join(texts) + "\n"
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, n)
+    doc = np.repeat(np.arange(n), sizes + 1)
+    near = np.minimum(cp, 0x2FFF)
+    kind = _KIND[near]
+    far = cp >= 0x3000
+    if far.any():
+        letters = ((cp >= 0x3040) & (cp < 0xD800)) | ((cp >= 0xF900) & (cp < 0xFB00)) | (cp >= 0x20000)
+        kind = np.where(far, np.where(letters, LETTER, np.where(cp == 0x3000, SPACE, SYMBOL)), kind)
+    cp = np.where(far, cp, _LOW[near])
+
+    def per_doc(mask: np.ndarray) -> np.ndarray:
+        return np.bincount(doc[mask], minlength=n).astype(float)
+
+    def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.diff(mask.view(np.int8), prepend=0, append=0)
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+    letter, space, symbol = (kind & LETTER) > 0, (kind & SPACE) > 0, (kind & SYMBOL) > 0
+    w0, w1 = runs(letter)
+    length = w1 - w0
+    wdoc = doc[w0]
+    h = _hashes(cp, np.flatnonzero(letter), length) if len(w0) else np.zeros(0, np.uint64)
+    w = np.bincount(wdoc, minlength=n).astype(float)
+    w_ = np.maximum(w, 1)
+    common = np.bincount(wdoc[np.isin(h, _COMMON)], minlength=n)
+
+    def distinct(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        x = np.sort((x >> np.uint64(20)) | (owner.astype(np.uint64) << np.uint64(44)))
+        return np.bincount((x[np.flatnonzero(np.diff(x, prepend=np.uint64(2**64 - 1)))] >> np.uint64(44)).astype(np.int64), minlength=n)
+
+    same = np.flatnonzero(wdoc[1:] == wdoc[:-1])
+    pairs = distinct(((h[same] * np.uint64(3)) ^ (h[same + 1] * np.uint64(0xD6E8FEB86659FD93))), wdoc[same])
+    t0, t1 = runs(~space)
+    tdoc = doc[t0]
+    t = np.maximum(np.bincount(tdoc, minlength=n), 1).astype(float)
+    number = ((kind[t0] | kind[t1 - 1]) & DIGIT) > 0
+    line_ends = np.flatnonzero(cp == 10)
+    starts = np.concatenate([[0], line_ends[:-1] + 1])
+    place = np.where(space, -1, np.arange(len(cp)))
+    last = np.maximum.reduceat(place, starts)
+    full = last >= starts
+    ldoc = doc[starts]
+    k = np.maximum(np.bincount(ldoc[full], minlength=n), 1).astype(float)
+    end = (kind[last] & END) > 0
+    end |= ((kind[last] & CLOSE) > 0) & (last > starts) & ((kind[np.maximum(last - 1, 0)] & END) > 0)
+    blanks = np.add.reduceat((cp == 32).astype(np.int32), starts)
+    after = np.append(cp[1:], 10)
+    wide0, wide1 = runs(cp == 32)
+    separators = per_doc((cp == 0x7C) | (cp == 0x3B) | (cp == 9) | ((cp == 0x2C) & ~np.append(space[1:], True)))
+    separators += np.bincount(doc[wide0[wide1 - wide0 >= 3]], minlength=n)
+    between = symbol & np.concatenate([[False], letter[:-1]]) & np.append(letter[1:], False)
+    odd = (np.isin(cp, (0xE3, 0xE2)) & ((_KIND[np.minimum(after, 0x2FFF)] & TRAIL) > 0)) | (cp == 0xFFFD)
+    stops = np.fromiter((len(_stop.findall(x)) for x in texts), float, n)
+    bullets = np.fromiter((len(_bullet.findall(x)) for x in texts), float, n)
+    size = np.maximum(sizes, 1)
+    out = [
+        np.log1p(w),
+        np.bincount(wdoc, weights=length, minlength=n) / w_,
+        per_doc(symbol) / size,
+        per_doc((kind & DIGIT) > 0) / size,
+        per_doc((kind & UPPER) > 0) / size,
+        np.log1p(40.0 * common / w_),
+        np.bincount(ldoc[full & end], minlength=n) / k,
+        np.log1p(t / k),
+        np.bincount(ldoc[full & (blanks < 6)], minlength=n) / k,
+        np.log1p(10.0 * separators / t),
+        bullets / k,
+        distinct(h, wdoc) / np.sqrt(2.0 * w_),
+        np.bincount(tdoc[t1 - t0 > 20], minlength=n) / t,
+        np.log1p(100.0 * per_doc(odd) / size),
+        np.log1p(w / np.maximum(1, stops)),
+        np.bincount(tdoc[number], minlength=n) / t,
+        pairs / np.maximum(1, w - 1),
+        np.log1p(100.0 * np.bincount(wdoc[length == 1], minlength=n) / w_),
+        np.log1p(100.0 * per_doc(between) / w_),
     ]
+    return np.stack(out, axis=1)
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [statistics(t) for t in b.column(1).to_pylist()]
-        x = pa.array(np.asarray(rows, dtype=float).reshape(-1), pa.float64())
-        at = pa.array(np.arange(len(rows) + 1) * len(STATS), pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, x)], ["doc_id", "x"])
+        texts = b.column(1).to_pylist()
+        for i, j in portions(texts, 500):
+            x = statistics(texts[i:j])
+            at = pa.array(np.arange(len(x) + 1) * len(STATS), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(x.reshape(-1)))], ["doc_id", "x"])
 
 
 def measured(documents: DataFrame) -> DataFrame:
     """``(doc_id, x)``: the statistics, as an array in the order of ``STATS``, of each row whose text isn't null or blank."""
-    rows = documents.select("doc_id", "text").filter(r"text IS NOT NULL AND text RLIKE '\\S'")
+    rows = documents.select("doc_id", "text").filter(r"text IS NOT NULL AND text RLIKE '(?U)\\S'")
     return rows.mapInArrow(_measured, "doc_id long, x array<double>").distinct()
 
 
@@ -134,8 +222,8 @@ class Mixture:
         return p / s, (top + np.log(s))[:, 0]
 
 
-def _rows(frame: pd.DataFrame) -> np.ndarray:
-    return np.stack(frame["x"].to_numpy()) if len(frame) else np.zeros((0, len(STATS)))
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy().reshape(-1, len(STATS))
 
 
 def examples(stats: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +286,7 @@ def fit(stats: DataFrame, x: np.ndarray, y: np.ndarray, components: int = 12, ro
     last = -np.inf
     for _ in range(rounds):
 
-        def sums(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+        def sums(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             k = len(model.weights)
             r, s, q, ll = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0
             for b in batches:
@@ -209,9 +297,10 @@ def fit(stats: DataFrame, x: np.ndarray, y: np.ndarray, components: int = 12, ro
                 for j in range(k):
                     q[j] += (z * p[:, j : j + 1]).T @ z
                 ll += like.sum()
-            yield pd.DataFrame({"v": [np.concatenate([r, s.ravel(), q.ravel(), [ll]])]})
+            v = np.concatenate([r, s.ravel(), q.ravel(), [ll]])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))], ["v"])
 
-        parts = stats.select("x").mapInPandas(sums, "v array<double>").collect()
+        parts = stats.select("x").mapInArrow(sums, "v array<double>").collect()
         v = np.sum([np.array(x["v"]) for x in parts], axis=0)
         k = len(model.weights)
         r, s, q = v[:k], v[k : k + k * d].reshape(k, d), v[k + k * d : -1].reshape(k, d, d)
@@ -255,12 +344,11 @@ def classified(documents: DataFrame, labels: DataFrame) -> DataFrame:
         return stats.sparkSession.createDataFrame([], schema)
     model = name_components(model, x, y)
 
-    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                p, _ = model.posterior(model.standard(_rows(b)))
-                c = p @ model.classes
-                top = c.argmax(1)
-                yield pd.DataFrame({"doc_id": b["doc_id"], "text_class": [CLASSES[i] for i in top], "chance": c.max(1).round(6), "component": p.argmax(1).astype("int32")})
+            p, _ = model.posterior(model.standard(_rows(b)))
+            c = p @ model.classes
+            names = pa.array([CLASSES[i] for i in c.argmax(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), names, pa.array(c.max(1).round(6)), pa.array(p.argmax(1).astype(np.int32))], ["doc_id", "text_class", "chance", "component"])
 
-    return stats.mapInPandas(classify, schema)
+    return stats.mapInArrow(classify, schema)

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
+def portions(texts: list[str], rows: int = 1000, chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that together have few rows and characters; a longer text is a run of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start == rows or size + len(t) > chars):
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0x9E3779B97F4A7C15)
