@@ -226,6 +226,17 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("x").flatten().to_numpy().reshape(-1, len(STATS))
 
 
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The element-wise sum of all rows ``v`` of a partition."""
+    total = None
+    for b in batches:
+        for i in range(b.num_rows):
+            v = b.column(0)[i].values.to_numpy()
+            total = v if total is None else total + v
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), pa.array(total))], ["v"])
+
+
 def examples(stats: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and class numbers of at most ``most`` labelled documents, those with the smallest hash.
 
@@ -259,8 +270,8 @@ def fit(stats: DataFrame, x: np.ndarray, y: np.ndarray, components: int = 12, ro
     ``x`` of each class in ``y``, at most ``components`` a class and one for four examples, so that
     rare kinds of text get their own; without examples, among the ``sample`` rows with the smallest
     hash of ``doc_id``. Each round is one pass: every partition returns its sums of responsibility,
-    statistics and products, ``k * (1 + d + d * d)`` numbers, and the driver adds them up. Nothing
-    that grows with the table leaves the executors.
+    statistics and products, ``k * (1 + d + d * d)`` numbers; eight tasks add them up and the driver
+    adds their eight rows. Nothing that grows with the table reaches it.
     """
     d = len(STATS)
     m = stats.select(*(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)), *(F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(d)), F.count("*").alias("n")).first()
@@ -300,7 +311,7 @@ def fit(stats: DataFrame, x: np.ndarray, y: np.ndarray, components: int = 12, ro
             v = np.concatenate([r, s.ravel(), q.ravel(), [ll]])
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))], ["v"])
 
-        parts = stats.select("x").mapInArrow(sums, "v array<double>").collect()
+        parts = stats.select("x").mapInArrow(sums, "v array<double>").repartition(8).mapInArrow(added, "v array<double>").collect()
         v = np.sum([np.array(x["v"]) for x in parts], axis=0)
         k = len(model.weights)
         r, s, q = v[:k], v[k : k + k * d].reshape(k, d), v[k + k * d : -1].reshape(k, d, d)
