@@ -104,3 +104,9 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from skerry.llm.sql import SQL
+
+    return SQL
