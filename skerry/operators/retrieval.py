@@ -102,7 +102,8 @@ def dat_alpha(sv: Column, sb: Column) -> Column:
 
 def grade(text: Column) -> Column:
     """A grade as a number from 0 to 5; null if it is none."""
-    return F.greatest(F.lit(0), F.least(F.lit(5), text.try_cast("double").cast("int")))
+    n = text.try_cast("double").cast("int")
+    return F.when(n.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(5), n)))
 
 
 def rerank(candidates: DataFrame, logits: DataFrame, k: int, cut: int = 50) -> DataFrame:
