@@ -14,7 +14,7 @@ from skerry.functions.text import _c, clean_text
 DROPPED = frozenset(("script", "style", "ix:header"))
 #: Elements without content (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BLOCKS = "array<struct<kind: string, content: string, rows: array<array<string>>>>"
+BLOCKS = "array<struct<kind: string, content: string>>"
 
 
 class _Blocks(HTMLParser):
@@ -35,9 +35,12 @@ class _Blocks(HTMLParser):
 
     def flush(self) -> None:
         if any(t.strip() for t in self.text):
-            self.out.append({"kind": "text", "content": "\n".join(self.text), "rows": None})
+            self.out.append({"kind": "text", "content": "\n".join(self.text)})
         self.text = []
 
+    def close_table(self) -> None:
+        self.out.append({"kind": "table", "content": table_text([["".join(c) for c in r] for r in self.rows])})
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.dropped:
             if tag == self.dropped[0]:
@@ -67,7 +70,7 @@ class _Blocks(HTMLParser):
             self.depth -= 1
             self.cells = self.cells[: self.depth]
             if not self.depth:
-                self.out.append({"kind": "table", "content": None, "rows": [["".join(c) for c in r] for r in self.rows]})
+                self.close_table()
         elif tag in ("td", "th", "tr"):
             self.cells = self.cells[: max(0, self.depth - 1)]
 
@@ -80,39 +83,36 @@ class _Blocks(HTMLParser):
             self.cells[-1].append(data)
 
 
+def table_text(rows: list[list[str]]) -> str:
+    """Rows of cells as lines: white space collapsed, empty rows and columns dropped, short rows filled up, cells joined by `` | ``."""
+    clean = [[" ".join(c.split()) for c in r] for r in rows]
+    clean = [r for r in clean if any(r)]
+    keep = sorted({i for r in clean for i, c in enumerate(r) if c})
+    out = (" | ".join(r[i] if i < len(r) else "" for i in keep) for r in clean)
+    return "\n".join(x for x in out if x.replace("|", "").strip())
+
+
 def parse(html: str | None) -> list[dict]:
     p = _Blocks()
     p.feed(html or "")
     p.close()
     if p.depth:
-        p.out.append({"kind": "table", "content": None, "rows": [["".join(c) for c in r] for r in p.rows]})
+        p.close_table()
     p.flush()
     return p.out
 
 
-@F.pandas_udf(BLOCKS)
-def _parse_all(html: pd.Series) -> pd.Series:
-    return pd.Series([parse(h) for h in html], dtype=object)
-
-
-def table_text(rows: Column | str) -> Column:
-    """Rows of cells as lines: white space collapsed, empty rows and columns dropped, short rows filled up, cells joined by `` | ``."""
-    blank = F.array().cast("array<string>")
-    clean = F.transform(_c(rows), lambda r: F.transform(r, lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))))
-    some = F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
-    width = F.coalesce(F.array_max(F.transform(some, lambda r: F.size(r))), F.lit(0))
-    columns = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
-    keep = F.filter(columns, lambda i: F.exists(some, lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
-    joined = F.transform(some, lambda r: F.array_join(F.transform(keep, lambda i: F.coalesce(F.get(r, i), F.lit(""))), " | "))
-    return F.coalesce(F.array_join(F.filter(joined, lambda x: F.trim(F.replace(x, F.lit("|"), F.lit(""))) != ""), "\n"), F.array_join(blank, "\n"))
+def parsed(html: Column | str) -> Column:
+    """``parse`` over Arrow batches."""
+    return F.pandas_udf(lambda batch: pd.Series([parse(h) for h in batch], dtype=object), BLOCKS)(_c(html))
 
 
 def blocks(docs: DataFrame, html: str = "html") -> DataFrame:
     """The other columns of ``docs`` and one row a block: ``pos`` from 0, ``kind`` (text or table), ``content`` cleaned; empty blocks are left out.
 
-    Parsing is the one step in Python, by Arrow batches; cleaning and table layout are columns.
+    Parsing and table layout are the one step in Python, by Arrow batches; cleaning is columns.
     """
     rest = [c for c in docs.columns if c != html]
-    rows = docs.withColumn("_b", _parse_all(F.coalesce(html, F.lit("")))).select(*rest, F.posexplode("_b").alias("pos", "b"))
-    content = F.when(F.col("b.kind") == "table", table_text("b.rows")).otherwise(clean_text("b.content"))
+    rows = docs.withColumn("_b", parsed(F.coalesce(html, F.lit("")))).select(*rest, F.posexplode("_b").alias("pos", "b"))
+    content = F.when(F.col("b.kind") == "table", F.col("b.content")).otherwise(clean_text("b.content"))
     return rows.select(*rest, "pos", F.col("b.kind").alias("kind"), content.alias("content")).filter("trim(content) <> ''")

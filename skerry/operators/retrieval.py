@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.text import index_tokens, rerank_text
-from skerry.functions.vectors import dot, unit
+from skerry.runtime import small
 
 
 def best(df: DataFrame, group: list[str], score: str, tie: str, k: int, rank: str = "rnk") -> DataFrame:
@@ -18,23 +20,47 @@ def best(df: DataFrame, group: list[str], score: str, tie: str, k: int, rank: st
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, places: int = 6) -> DataFrame:
-    """``(qid, id, score)``: the cosine of every query with every vector, rounded.
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 50, without_self: bool = False, places: int = 6, block: int = 20_000) -> DataFrame:
+    """``(qid, id, score, rnk)``: the exact top ``k`` of ``vectors(id, vec)`` for each of ``queries(qid, qvec)`` by cosine, rounded, ties by id.
 
-    ``queries(qid, qvec)`` against ``vectors(id, vec)``: exact search compares every pair, so the
-    queries, which are the smaller side, are sent to the vectors. A vector of zeros scores 0; a null
-    one, or one of another length, is left out.
+    Queries and vectors are cut into blocks of about ``block`` rows; a task multiplies one block of
+    each as matrices and passes on its ``k`` best a query, so that memory is bounded however many
+    there are. A vector of zeros scores 0; nulls, and vectors of another length than most, are left out.
     """
-    q = queries.filter("qvec IS NOT NULL").select("qid", unit("qvec").alias("q"))
-    v = vectors.filter("vec IS NOT NULL").select("id", unit("vec").alias("v"))
-    pairs = v.join(q, F.size("q") == F.size("v"))
-    return pairs.select("qid", "id", F.round(dot("q", "v"), places).alias("score"))
-
-
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 50, without_self: bool = False) -> DataFrame:
-    """``(qid, id, score, rnk)``: exact top ``k`` by cosine, ties by id."""
-    s = dense_scores(queries, vectors)
-    return best(s.filter("qid <> id") if without_self else s, ["qid"], "score", "id", k)
+    q = queries.filter("qid IS NOT NULL AND qvec IS NOT NULL").select("qid", F.col("qvec").cast("array<double>").alias("v"))
+    x = vectors.filter("id IS NOT NULL AND vec IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("v"))
+    nq, nx = q.count(), x.count()
+    dim = x.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    d = dim[0]["d"] if dim else 0
+    parts = lambda n: max(1, -(-n // block))
+    mod = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    bq, bx = parts(nq), max(parts(nx), min(8, parts(nx * max(nq, 1) // 1000)))
+    q = q.filter(F.size("v") == d).withColumn("bq", mod("qid", bq)).withColumn("bx", every(bx))
+    x = x.filter(F.size("v") == d).withColumn("bx", mod("id", bx)).withColumn("bq", every(bq))
+    kinds = queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+
+    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            a, b = (np.stack(f["v"].to_numpy()) for f in (left, right))
+            a, b = (m / np.where((n := np.sqrt((m * m).sum(1, keepdims=True))) == 0, 1, n) for m in (a, b))
+            order = right["id"].argsort(kind="stable").to_numpy()
+            b, ids = b[order], right["id"].to_numpy()[order]
+            qids = left["qid"].to_numpy()
+            for i in range(0, len(a), 256):
+                s = np.round(a[i : i + 256] @ b.T, places) + 0.0
+                if without_self:
+                    s[qids[i : i + 256, None] == ids[None]] = -2
+                n = min(k, s.shape[1])
+                # Of equal scores at the edge the least ids are needed, so the edge's score decides first.
+                edge = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+                row, col = np.nonzero((s >= edge[:, None]) & (s > -2))
+                out.append(pd.DataFrame({"qid": qids[i + row], "id": ids[col], "score": s[row, col]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "score": []})
+
+    found = q.groupBy("bq", "bx").cogroup(x.groupBy("bq", "bx")).applyInPandas(product, f"qid {kinds[0]}, id {kinds[1]}, score double")
+    return best(found, ["qid"], "score", "id", k)
 
 
 def postings(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -48,16 +74,18 @@ def bm25_scores(queries: DataFrame, post: DataFrame, docs: DataFrame, terms: Dat
     """``(qid, id, score)`` of ``queries(qid, question)``: the sum over a question's tokens, repeats included, of idf times saturated tf.
 
     ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; a tf of ``tf`` counts ``tf / (tf + k1 (1 - b + b dl / avgdl))``.
-    Only postings of the questions' terms are read and summed; documents that share no term don't
-    come out unless ``keep_zero``.
+    Only postings of the questions' terms are read. They are partitioned by document, so that, as
+    long as the questions' weighted terms are few enough to be sent everywhere, sums and each task's
+    best are made where the postings lie and only those best are shuffled. Documents that share no
+    term don't come out; those whose sum isn't positive only with ``keep_zero``.
     """
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     q = queries.select("qid", F.explode(index_tokens("question")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = q.join(terms, "term").select("qid", "term", (F.col("qtf") * idf).alias("w"))
+    asked = small(q.join(terms, "term").select("qid", "term", (F.col("qtf") * idf).alias("w")), 1_000_000)
     weight = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    hits = post.join(q.select("term").distinct(), "term", "left_semi").join(docs, "id").select("term", "id", weight.alias("x"))
+    hits = post.join(small(q.select("term").distinct(), 1_000_000), "term", "left_semi").repartition("id").join(docs, "id").select("term", "id", weight.alias("x"))
     out = asked.join(hits, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("x")), places).alias("score"))
     return out if keep_zero else out.filter("score > 0")
 

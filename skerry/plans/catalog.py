@@ -234,7 +234,10 @@ def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT qid, id, score, rnk::INT AS rnk FROM bmtop")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    scores = retrieval.bm25_scores(questions(spark, d), *retrieval.postings(corpus(spark, d)))
+    post, docs, _ = retrieval.postings(corpus(spark, d))
+    post, docs = staged(post), staged(docs)  # what an index keeps on disk
+    terms = post.groupBy("term").agg(F.count("*").alias("df"))
+    scores = retrieval.bm25_scores(questions(spark, d), post, docs, terms)
     return retrieval.best(scores, ["qid"], "score", "id", 10)
 
 

@@ -49,6 +49,11 @@ def hot_keys(df: DataFrame, key: str, rows: int, most: int = 1000) -> list:
     return [r[0] for r in counts.filter(F.col("n") > bound).select(key).collect()]
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if it is counted to have at most ``most`` rows; else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
