@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.runtime import staged
+from skerry.runtime import small, staged
 
 #: Latin letters that letters of other scripts are drawn like, likeliest first (fixed values).
 ALIKE = {
@@ -231,7 +231,7 @@ def spellings(words: DataFrame, texts: DataFrame, shards: int | None = None) ->
     asked = staged(words.distinct().withColumn("key", to_key("word")))
     keys = asked.select("key").distinct()
     count = texts.mapInArrow(_vocabulary, "key string, word string, n long")
-    known = count.join(F.broadcast(keys) if keys.limit(500_001).count() <= 500_000 else keys, "key", "left_semi").groupBy("key", "word").agg(F.sum("n").alias("n"))
+    known = count.join(small(keys, 500_000), "key", "left_semi").groupBy("key", "word").agg(F.sum("n").alias("n"))
     shards = shards or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards * 4)).cast("int")
 
@@ -265,8 +265,9 @@ def consistent(records: DataFrame) -> DataFrame:
     simple = scanned.filter(F.size("words") == 0).select("tbl", "record_id", "text", F.col("n").alias("n_changed"))
     some = scanned.filter(F.size("words") > 0)
     found = spellings(some.select(F.explode("words").alias("word")), rows.filter("text IS NOT NULL").select("text"))
-    each = some.select("tbl", "record_id", F.xxhash64("text").alias("h"), F.explode("words").alias("word")).join(found, "word")
-    maps = each.groupBy("tbl", "record_id", "h").agg(F.map_from_entries(F.collect_set(F.struct("word", "spelling"))).alias("to"))
+    # A text stands for all records that hold it, and its hash for the text.
+    each = some.select(F.xxhash64("text").alias("h"), F.explode("words").alias("word")).distinct().join(found, "word")
+    maps = each.groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct("word", "spelling"))).alias("to"))
 
     def respell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,7 +279,7 @@ def consistent(records: DataFrame) -> DataFrame:
                 n.append(m + len(to))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(n, pa.int32())], ["tbl", "record_id", "text", "n_changed"])
 
-    joined = some.withColumn("h", F.xxhash64("text")).join(maps, ["tbl", "record_id", "h"]).select("tbl", "record_id", "text", "n", "to")
+    joined = some.withColumn("h", F.xxhash64("text")).join(maps, "h").select("tbl", "record_id", "text", "n", "to")
     hard = joined.mapInArrow(respell, "tbl string, record_id string, text string, n_changed int")
     return clean.unionByName(simple).unionByName(hard)
 

@@ -49,15 +49,17 @@ def fill(sizes: np.ndarray, counts: np.ndarray, capacity: int, a: np.ndarray) ->
     return a
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 800, steep: float = 8.0) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 800, steep: float = 8.0, spare: float = 0.001) -> list[tuple[np.ndarray, int]]:
     """``(items of each size, containers)``: patterns that hold every item of the histogram, exactly.
 
-    Covering program: the fewest containers so that each size is covered by its count. By
-    multiplicative weights a size's price falls as it is covered; the configuration of greatest
-    worth is priced by dynamic programming and taken as often as the scarcest of its sizes allows.
-    The fractional multiplicities are rounded down, scaled to cover once; what is left over is
-    filled largest first, each pattern as often as it fits, which ends after at most one pattern a
-    size. Work depends on ``capacity`` and ``rounds``, not on the number of items.
+    Covering program: the fewest containers so that each size is covered by its count. Prices start
+    halfway between an item's share of a container and that of the containers it needs alone, and by
+    multiplicative weights fall as a size is covered; the configuration of greatest worth is found by
+    dynamic programming and taken as often as the scarcest of its sizes allows. The fractional
+    multiplicities, scaled to cover once, are rounded down; a configuration that leaves more than
+    ``spare`` of a container free isn't used. What is left over is filled largest first, each
+    pattern as full as any choice of items makes it and as often as it fits, which ends after at
+    most one pattern a size. Work depends on ``capacity`` and ``rounds``, not on the number of items.
     """
     keep = counts > 0
     full_sizes, n_all = sizes, len(sizes)
@@ -74,11 +76,12 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
     if len(s) == 0:
         return plan
     covered = np.zeros(len(s))
+    base = 0.5 * s / capacity + 0.5 / (capacity // s)
     chosen: dict[bytes, float] = {}
     for _ in range(rounds):
         if covered.min() >= 1.0:
             break
-        price = s * np.exp(-steep * (covered - covered.min()))
+        price = base * np.exp(-steep * (covered - covered.min()))
         a = best_configuration(s, price / d, d, capacity)
         if not a.any():
             break
@@ -90,7 +93,7 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
     for raw, x in sorted(chosen.items(), key=lambda kv: -kv[1]):
         a = np.frombuffer(raw, np.int64)
         m = min(int(x * scale), int((left[a > 0] // a[a > 0]).min()))
-        if m > 0:
+        if m > 0 and a @ s >= (1 - spare) * capacity:
             out(a, m)
             left -= m * a
     while left.any():
