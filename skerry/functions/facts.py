@@ -33,7 +33,7 @@ def value_formats(value: Column | str) -> Column:
     """The distinct ways ``value`` may stand in a text, in thousands and millions too, of three characters or more without commas.
 
     Whole numbers of at least 1 at a scale with and (from 1,000) without separators; below 1,000
-    also with two decimals. Null for null.
+    also with two decimals, ties to even. Null for null.
     """
     value = _c(value).cast("double")
     out = []
@@ -44,7 +44,7 @@ def value_formats(value: Column | str) -> Column:
         n = n.cast("decimal(20,0)")
         out.append(F.when(whole, F.format_number(n, 0)))
         out.append(F.when(whole & (F.abs(n) >= 1000), n.cast("string")))
-    out.append(F.when(F.abs(value) < 1000, F.format_number(F.round(value.cast("decimal(38,17)"), 2), 2)))
+    out.append(F.when(F.abs(value) < 1000, F.format_number(F.bround(value.cast("decimal(38,17)"), 2), 2)))
     kept = F.filter(F.array_distinct(F.array(*out)), lambda s: s.isNotNull() & (F.length(F.replace(s, F.lit(","), F.lit(""))) >= 3))
     return F.when(value.isNotNull(), kept)
 

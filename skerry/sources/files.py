@@ -48,7 +48,7 @@ def read_pages(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``(path, json)`` of whole JSON files, one row each."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
 
 
 def write_report(summary: DataFrame, path: str) -> None:
