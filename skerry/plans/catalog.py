@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import chat, facts, jsonx, text
-from skerry.functions.text import _c
 from skerry.operators import chunking, flatten, html, labels, metrics, retrieval, sampling
 from skerry.plans import eval_sets, retrieval as plans
 from skerry.runtime import filled, staged, table
+from skerry.sources import files, providers
 from skerry.sources.files import question_year
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -473,14 +473,11 @@ def ticker_lookup(spark: SparkSession, d: str) -> DataFrame:
 # ---- samples
 
 
-@query(f"WITH {QS}, t AS (SELECT DISTINCT qid, ticker FROM qs) SELECT qid, ticker, row_number() OVER (PARTITION BY ticker ORDER BY qid)::INT AS turn, row_number() OVER (ORDER BY turn, ticker NULLS FIRST)::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY qid) AS turn FROM t)")
+@query(f"WITH {QS}, t AS (SELECT DISTINCT qid, ticker FROM qs) SELECT qid, ticker, row_number() OVER (PARTITION BY ticker ORDER BY qid)::INT AS turn FROM t")
 def round_robin_interleave(spark: SparkSession, d: str) -> DataFrame:
-    """Every question in its place of the interleaved order; places come from a running total over turns, not from one sorted task."""
+    """Every question with its turn; the order is by turn, then ticker."""
     t = sampling.interleave(questions(spark, d).select("qid", "ticker").distinct(), "ticker", ["qid"])
-    size = t.groupBy("turn").agg(F.count("*").alias("n"))
-    before = size.withColumn("before", F.sum("n").over(Window.orderBy("turn")) - F.col("n")).select("turn", "before")
-    place = F.row_number().over(Window.partitionBy("turn").orderBy(F.col("ticker").asc_nulls_first()))
-    return t.withColumn("p", place).join(before, "turn").select("qid", "ticker", "turn", (F.col("p") + F.col("before")).cast("int").alias("place"))
+    return t.orderBy("turn", F.col("ticker").asc_nulls_first())
 
 
 @query(f"WITH {CH}, t AS (SELECT DISTINCT chunk_id, ticker FROM ch) SELECT chunk_id, ticker, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY md5('7|' || chunk_id), chunk_id) AS place FROM t) WHERE place <= 5")
@@ -588,6 +585,43 @@ def pack_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select("doc_id", "window_no", F.length("window").alias("n_chars"), F.md5("window").alias("md5"))
 
 
+# ---- whole pipelines, with stand-ins for models
+
+
+@query()
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """An index built from all chunks, and all questions searched: hashed words stand in for embeddings, shared words for a reranker."""
+    c = chunks(spark, d)
+    index = files.Index.build(c, providers.embedded(corpus(spark, d), providers.HashEmbedder(), "passage"), "hashed words")
+    index = files.Index(**{t: staged(getattr(index, t)) for t in files.Index.TABLES})
+    q = questions(spark, d).select("qid", "question").distinct()
+    qvecs = providers.embedded(q.toDF("id", "text"), providers.HashEmbedder(), "query").toDF("qid", "qvec")
+    first = staged(plans.search(q, index, qvecs, k=50).select("qid", "id", "rnk", "score", "dense_rank", "sparse_rank", "breadcrumb", "text"))
+    asked = retrieval.passages(first).join(q, "qid").select("qid", "question", "id", "passage")
+    top = retrieval.rerank(first.select("qid", "id", "rnk", "dense_rank", "sparse_rank"), providers.reranked(asked, providers.OverlapReranker()), 8)
+    return top.select("qid", "id", "rnk", "first_rnk", "dense_rank", "sparse_rank", F.round("logit", 6).alias("logit"))
+
+
+@query()
+def narrative_eval_set(spark: SparkSession, d: str) -> DataFrame:
+    """Questions about passages, screened, with near duplicates as further gold; the questions there are stand in for a model's answers."""
+    c = chunks(spark, d)
+    p = eval_sets.narrative_passages(c, ["1", "1A", "1C", "3", "7", "7A"])
+    q = questions(spark, d).select(F.get("gold_chunk_ids", F.lit(0)).alias("id"), "question").groupBy("id").agg(F.min("question").alias("question"))
+    answers = q.select("id", F.concat(F.lit("Here: "), F.to_json(F.struct("question", F.lit("topic").alias("topic")))).alias("answer"))
+    near = labels.similar_sets(p.select(F.col("chunk_id").alias("id"), F.col("ticker").alias("group"), "text").distinct())
+    out, _ = eval_sets.narrative_questions(p, answers, c.select(F.col("chunk_id").alias("id"), "text").distinct(), near)
+    return out.withColumn("gold_chunk_ids", F.array_join("gold_chunk_ids", " "))
+
+
+@query()
+def ablation_result(spark: SparkSession, d: str) -> DataFrame:
+    """The ablation as one line of JSON, with where it comes from."""
+    n = chunks(spark, d).select("chunk_id").distinct().count()
+    r = plans.ablation_result(staged(_ablation(spark, d)), questions(spark, d), ["eval_narrative"], n, "hits")
+    return r.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("result"))
+
+
 # ---- models' answers and prompts
 
 

@@ -110,3 +110,22 @@ def weight_report(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(differ).alias("n_disagree"), *(mean(c).alias(c) for c in ("dat", "fixed", "dense")), *(mean(c, differ).alias(f"{c}_disagree") for c in ("dat", "fixed", "dense")),
         F.count_if(F.col("dat") > F.col("fixed")).alias("wins"), F.count_if(F.col("dat") < F.col("fixed")).alias("losses"),
     )
+
+
+def ablation_result(scored: DataFrame, questions: DataFrame, eval_sets: list[str], n_chunks: int, model: str, limit: int | None = None, most: int = 100_000) -> DataFrame:
+    """One row with all that a result file holds: where it comes from, counts a ticker and split, means a split and configuration, and each question's nDCG.
+
+    For sets of at most ``most`` questions, which are read by people; a larger one raises, and stays two frames.
+    """
+    n = questions.select("qid").distinct().limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a result file of more than {most} questions")
+    counts = lambda c: questions.select("qid", F.coalesce(c, F.lit("?")).alias("k")).distinct().groupBy("k").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias(c))
+    means = metrics.mean_metrics(scored, ("config", "split"), also_all=True)
+    results = means.agg(F.sort_array(F.collect_list(F.struct("split", "config", "n", *metrics.METRICS))).alias("results"))
+    each = scored.groupBy("config").agg(F.sort_array(F.collect_list(F.struct("qid", F.round("ndcg", 4).alias("ndcg")))).alias("q")).agg(F.map_from_entries(F.collect_list(F.struct("config", "q"))).alias("per_question_ndcg"))
+    head = {"n_questions": n, "n_chunks": n_chunks, "embed_model": model, "eval_sets": eval_sets, "limit": limit}
+    first = results.sparkSession.createDataFrame([tuple(head.values())], "n_questions long, n_chunks long, embed_model string, eval_sets array<string>, limit int")
+    one = F.lit(1).alias("_one")  # each of these is one row
+    frames = [f.withColumn("_one", one) for f in (first, counts("ticker").withColumnRenamed("ticker", "tickers"), counts("split").withColumnRenamed("split", "splits"), results, each)]
+    return reduce(lambda a, b: a.join(b, "_one"), frames).drop("_one")

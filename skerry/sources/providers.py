@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import threading
 import time
@@ -89,6 +90,24 @@ def first_valid(models: list[str], ask: Callable[[str], Any], valid: Callable[[A
     raise last
 
 
+def found_json(text: str) -> Any:
+    """The first JSON value in an answer: the whole, each fenced block, the outermost braces, the outermost brackets; raises if none parses."""
+    t = text.strip()
+    spans = [t, *re.findall(r"(?s)```(?:json)?\s*(.*?)```", t)]
+    spans += [t[t.find(a) : t.rfind(b) + 1] for a, b in ("{}", "[]") if -1 < t.find(a) < t.rfind(b)]
+    for s in spans:
+        try:
+            return json.loads(s)
+        except ValueError:
+            continue
+    raise ValueError(f"no JSON in {t[:100]!r}")
+
+
+def ask_json(provider: Chat, models: list[str], messages: list[dict[str, str]], valid: Callable[[Any], bool]) -> tuple[Any, str]:
+    """The first model's answer that holds JSON which is ``valid``, parsed, and that model."""
+    return first_valid(models, lambda m: found_json(with_retry(lambda: provider.chat(m, messages))), valid)
+
+
 class Throttle:
     """At least ``gap`` seconds between calls of one task."""
 

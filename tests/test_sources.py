@@ -114,6 +114,35 @@ def test_first_valid():
         providers.first_valid(["a"], lambda m: m, lambda x: False)
 
 
+def test_ask_json():
+    class Says:
+        def chat(self, model, messages):
+            return {"a": "nothing", "b": '```json\n{"x": 1}\n```', "c": 'so {"score": 3} it is'}[model]
+
+    assert providers.ask_json(Says(), ["a", "b", "c"], [], lambda d: "score" in d) == ({"score": 3}, "c")
+    with pytest.raises(ValueError):
+        providers.ask_json(Says(), ["a"], [], lambda d: True)
+
+
+def test_staged_tables_are_released(spark):
+    from skerry import runtime
+
+    df = runtime.staged(spark.range(5))
+    assert df.count() == 5
+    path = df.inputFiles()[0]
+    assert runtime.release(spark) >= 1 and runtime.release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
+def test_hot_keys(spark):
+    from skerry.runtime import hot_keys
+
+    df = spark.createDataFrame([("a",)] * 50 + [("b",)] * 30 + [("c",)] + [(None,)] * 99, "k string")
+    assert sorted(hot_keys(df, "k", 20)) == ["a", "b"] and hot_keys(df, "k", 60) == []
+    assert hot_keys(df, "k", 20, most=2) == ["a"]
+
+
 def test_throttle_and_contact():
     now, slept = [0.0], []
     t = providers.Throttle(0.15, lambda: now[0], slept.append)
