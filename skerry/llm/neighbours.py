@@ -122,20 +122,29 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 24, share: float = 0.1
     into blocks of about ``block`` rows, so one that a third of all rows fall into is many tasks'
     work; blocks keep the unit vectors beside the codes, so reranking needs no join.
 
+    Rows of exactly the same direction are alike to every query, so of each direction only the
+    ``k + 1`` rows of least id are indexed and searched: no more can be among any row's ``k`` most
+    similar, and the others' are these. So copies that a third of all rows are cost no comparisons.
+
     Vectors that are null, all zero, of another length, or hold nulls or NaN are neither queries nor
     results. Repeated rows count once; rows of equal direction find each other with cosine 1, ties
     by id. ``chunk_id`` may be null. An empty table gives an empty result.
     """
-    unit = staged(usable(vectors, dim))
-    n = unit.count()
+    everything = staged(usable(vectors, dim).withColumn("direction", F.xxhash64("u")))
     schema = "id long, chunk_id string, rank int, other_id long, other_chunk_id string, cosine double"
+    place = F.row_number().over(Window.partitionBy("direction").orderBy("id"))
+    unit = staged(everything.withColumn("place", place).filter(F.col("place") <= k + 1))
+    n = unit.count()
     if not n:
         return unit.sparkSession.createDataFrame([], schema)
+    alike = unit.filter(F.col("place") <= k).groupBy("direction").agg(F.sort_array(F.collect_list(F.struct("place", "id", "chunk_id"))).alias("first"), F.count("*").alias("n")).filter(F.col("n") == k)
+    rest = everything.filter(F.col("id") % every == 0).join(unit.select("id"), "id", "left_anti").join(alike, "direction").select("id", "chunk_id", F.explode("first").alias("f"))
+    copies = rest.select("id", "chunk_id", F.col("f.place").alias("rank"), F.col("f.id").alias("other_id"), F.col("f.chunk_id").alias("other_chunk_id"), F.lit(1.0).alias("cosine"))
     index = fit_index(unit, dim, n)
     probes = max(probes, round(share * len(index.centroids)))
     own_schema = "list int, id long, chunk_id string, u array<float>, codes binary"
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 x = _matrix(b["u"])
@@ -148,7 +157,7 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 24, share: float = 0.1
                 lists = nearest(_matrix(b["u"]), index.centroids, probes)
                 yield pd.DataFrame({"lists": list(lists), "id": b["id"], "u": b["u"]})
 
-    placed = staged(unit.mapInPandas(place, own_schema))
+    placed = staged(unit.select("id", "chunk_id", "u").mapInPandas(listed, own_schema))
     # Blocks a list: the driver sees one count a list, at most the number of lists.
     sizes = {r["list"]: -(-r["n"] // block) for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     blocks = F.element_at(F.lit([max(1, sizes.get(i, 0)) for i in range(len(index.centroids))]), F.col("list") + 1)
@@ -174,7 +183,8 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 24, share: float = 0.1
     found = asked.groupBy("list", "block", "part").cogroup(placed.groupBy("list", "block", "part")).applyInPandas(compare, "id long, other_id long, other_chunk_id string, cosine double")
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other_id")
     best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return best.join(unit.select("id", "chunk_id"), "id").select("id", "chunk_id", "rank", "other_id", "other_chunk_id", "cosine")
+    best = best.join(unit.select("id", "chunk_id"), "id").select("id", "chunk_id", "rank", "other_id", "other_chunk_id", "cosine")
+    return best.unionByName(copies)
 
 
 def close_pairs(vectors: DataFrame, least: float = 0.9, k: int = 5) -> DataFrame:
