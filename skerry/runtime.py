@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 _STAGED: list[str] = []
+_KEPT: list[DataFrame] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +40,20 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` kept by the executors, in memory or on their disks, for small results that several later passes need.
+
+    The lineage stays: what a lost executor held is computed again. Cheaper than ``staged`` where a
+    result is small beside what it is made of.
+    """
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _KEPT[-1]
+
+
 def release(spark: SparkSession) -> int:
-    """Deletes all this process has staged, once no frame needs it any more; how many tables that were."""
+    """Deletes all this process has staged and kept, once no frame needs it any more; how many tables that were."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
     n = len(_STAGED)
     while _STAGED:
         path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
