@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from skerry.functions.text import _c, clean_text
 
 #: Elements whose whole content is dropped (fixed values).
-DROPPED = frozenset(("script", "style", "ix:header"))
-#: Elements without content (fixed values).
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+DROPPED = frozenset(("script", "style", "ix:header", "title"))
 BLOCKS = "array<struct<kind: string, content: string>>"
 
 
@@ -30,6 +28,7 @@ class _Blocks(HTMLParser):
         self.text: list[str] = []
         self.dropped: list[str] = []
         self.depth = 0
+        self.body = False
         self.rows: list[list[list[str]]] = []
         self.cells: list[list[str]] = []
 
@@ -47,6 +46,9 @@ class _Blocks(HTMLParser):
                 self.dropped.append(tag)
         elif tag in DROPPED:
             self.dropped.append(tag)
+        elif tag == "body" and not self.body:
+            self.body = True
+            self.text, self.out = [], []  # what stands before the body isn't part of it
         elif tag == "table":
             if not self.depth:
                 self.flush()

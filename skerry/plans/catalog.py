@@ -91,8 +91,16 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_narrative").filter("qid IS NOT NULL").select("qid", F.explode("gold_chunk_ids").alias("id")).distinct()
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", "ticker", "form", "report_date", "item", "item_title", "kind", "text", "breadcrumb").distinct()
+CHUNK = ("chunk_id", "ticker", "form", "report_date", "item", "item_title", "kind", "text", "breadcrumb")
+
+
+def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The distinct rows of some columns of the chunks: only these are read and shuffled."""
+    return table(spark, d, "chunks").select(*(columns or CHUNK)).distinct()
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d, "chunk_id", "text").withColumnRenamed("chunk_id", "id")
 
 
 def lists(spark: SparkSession, d: str) -> DataFrame:
@@ -113,13 +121,13 @@ def maps(h: DataFrame) -> DataFrame:
 def first_gold(spark: SparkSession, d: str) -> DataFrame:
     """``(pid, question, gold_text)``: each question with the text of its first gold chunk."""
     q = questions(spark, d).select(F.col("qid").alias("pid"), "question", F.get("gold_chunk_ids", F.lit(0)).alias("chunk_id"))
-    c = chunks(spark, d).select("chunk_id", F.col("text").alias("gold_text")).distinct()
+    c = texts(spark, d).toDF("chunk_id", "gold_text")
     return q.join(c, "chunk_id", "left").select("pid", "question", "gold_text")
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """What the sparse index sees of each chunk."""
-    return chunks(spark, d).select(F.col("chunk_id").alias("id"), F.coalesce(text.embed_text("breadcrumb", "text"), "text").alias("text")).distinct()
+    return chunks(spark, d, "chunk_id", "breadcrumb", "text").select(F.col("chunk_id").alias("id"), F.coalesce(text.embed_text("breadcrumb", "text"), "text").alias("text"))
 
 
 # ---- dense search
@@ -161,7 +169,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CH} SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM (SELECT DISTINCT chunk_id, text FROM ch))::DOUBLE / (1 + count(*))), 9) AS idf FROM (SELECT unnest(list_distinct({TOKENS.format('text')})) AS term FROM (SELECT DISTINCT chunk_id, text FROM ch)) GROUP BY term")
 def corpus_df_idf(spark: SparkSession, d: str) -> DataFrame:
-    return labels.idf(chunks(spark, d).select(F.col("chunk_id").alias("id"), "text").distinct())
+    return labels.idf(texts(spark, d))
 
 
 FIRST_GOLD = "fg AS (SELECT qid AS pid, question, c.text AS gold_text FROM qs LEFT JOIN (SELECT DISTINCT chunk_id, text FROM ch) c ON c.chunk_id = gold_chunk_ids[1])"
@@ -172,7 +180,7 @@ ov AS (SELECT fg.pid, round(coalesce(CASE WHEN a > 0 THEN b / a ELSE 0 END, 0),
 
 @query(f"WITH {IDF_OVERLAP} SELECT * FROM ov")
 def idf_overlap(spark: SparkSession, d: str) -> DataFrame:
-    weights = labels.idf(chunks(spark, d).select(F.col("chunk_id").alias("id"), "text").distinct())
+    weights = labels.idf(texts(spark, d))
     return labels.idf_overlap(first_gold(spark, d), weights)
 
 
@@ -182,7 +190,7 @@ r AS (SELECT g.pid, overlap, CASE WHEN len(q) < 4 THEN 'too short' WHEN list_has
 
 
 def _screened(spark: SparkSession, d: str) -> DataFrame:
-    weights = labels.idf(chunks(spark, d).select(F.col("chunk_id").alias("id"), "text").distinct())
+    weights = labels.idf(texts(spark, d))
     return labels.screened(first_gold(spark, d), weights)
 
 
@@ -201,7 +209,7 @@ LEXICAL = f"""{QS}, {CH}, {GOLD}, lx AS (SELECT qid, round(CASE WHEN len(q) > 0
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).select(F.col("chunk_id").alias("id"), F.col("text").alias("gold_text")).distinct()
+    c = texts(spark, d).toDF("id", "gold_text")
     pairs = questions(spark, d).join(gold(spark, d), "qid", "left").join(c, "id", "left").select("qid", "question", "gold_text")
     return labels.lexical_overlap(pairs)
 
@@ -426,7 +434,7 @@ hit AS (SELECT DISTINCT v.ticker, val, fiscal_year, chunk_id FROM v JOIN ch ON v
 def gold_containment(spark: SparkSession, d: str) -> DataFrame:
     f = eval_sets.eligible_facts(facts_of(spark, d)).select("ticker", F.col("val").alias("value"), "fiscal_year").distinct()
     f = f.withColumn("fact_id", F.struct("ticker", "value", "fiscal_year"))
-    m = labels.value_matches(f, chunks(spark, d), most=8)
+    m = labels.value_matches(f, chunks(spark, d, "chunk_id", "ticker", "report_date", "text"), most=8)
     return m.select("fact_id.ticker", F.col("fact_id.value").alias("val"), "fact_id.fiscal_year", "chunk_id")
 
 
@@ -438,7 +446,7 @@ q AS (SELECT ticker || '-' || concept || '-' || fiscal_year AS qid, * FROM w WHE
 @query(f"""WITH {NUMERIC} SELECT qid, 'What was ' || ticker || '''s ' || coalesce(nullif(label, ''), concept) || ' in fiscal ' || fiscal_year || '?' AS question, ticker, fiscal_year, val AS expected_value, unit, array_to_string(g, ' ') AS gold
 FROM q QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY md5('0|' || qid), qid) <= 40""")
 def numeric_eval_set(spark: SparkSession, d: str) -> DataFrame:
-    q = eval_sets.numeric_questions(eval_sets.eligible_facts(facts_of(spark, d)), chunks(spark, d), ["filed", "accession", "val", "unit", "label"])
+    q = eval_sets.numeric_questions(eval_sets.eligible_facts(facts_of(spark, d)), chunks(spark, d, "chunk_id", "ticker", "report_date", "text"), ["filed", "accession", "val", "unit", "label"])
     return q.select("qid", "question", "ticker", "fiscal_year", "expected_value", "unit", F.array_join("gold_chunk_ids", " ").alias("gold"))
 
 
@@ -482,7 +490,7 @@ def round_robin_interleave(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CH}, t AS (SELECT DISTINCT chunk_id, ticker FROM ch) SELECT chunk_id, ticker, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY md5('7|' || chunk_id), chunk_id) AS place FROM t) WHERE place <= 5")
 def quota_per_group(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.quota(chunks(spark, d).select("chunk_id", "ticker").distinct(), "ticker", 5, [sampling.seeded(7, "chunk_id"), "chunk_id"])
+    return sampling.quota(chunks(spark, d, "chunk_id", "ticker"), "ticker", 5, [sampling.seeded(7, "chunk_id"), "chunk_id"])
 
 
 @query(f"WITH {QS} SELECT coalesce(ticker, '?') AS ticker, count(DISTINCT qid) AS n, sum(len(gold_chunk_ids))::BIGINT AS gold, avg(len(gold_chunk_ids)) AS gold_each FROM qs GROUP BY ALL")
@@ -505,8 +513,7 @@ one AS (SELECT g, w, min(id) AS id FROM s1 GROUP BY g, w), t AS (SELECT g, id, l
 @query(f"""WITH {SETS} SELECT * FROM (SELECT a.g AS "group", a.id AS a, b.id AS b, round(count(*)::DOUBLE / (a.n + b.n - count(*)), 6) AS similarity FROM t a JOIN t b ON a.g = b.g AND a.x = b.x AND a.id < b.id GROUP BY a.g, a.id, b.id, a.n, b.n) WHERE similarity >= 0.55
 UNION ALL SELECT one.g, one.id, s1.id, 1.0 FROM one JOIN s1 ON one.g = s1.g AND one.w = s1.w AND one.id < s1.id""")
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).select(F.col("chunk_id").alias("id"), F.col("ticker").alias("group"), "text").distinct()
-    return labels.similar_sets(c)
+    return labels.similar_sets(chunks(spark, d, "chunk_id", "ticker", "text").toDF("id", "group", "text"))
 
 
 # ---- documents
@@ -529,7 +536,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     cells = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("<tr><td>&nbsp;</td>"), F.array_join(F.transform(F.split(r, r"\|"), lambda c: F.concat(F.lit("<td> "), esc(c), F.lit("</td>"))), ""), F.lit("</tr>"))), "")
     body = F.when(F.col("kind") == "table", F.concat(F.lit("<table>"), cells, F.lit("</table>"))).otherwise(para)
     html = F.concat(F.lit("<html><head><title></title><style>p {}</style></head><body><script>if (1 < 2) {}</script>\n"), body, F.lit("<ix:header>hidden</ix:header></body></html>"))
-    return chunks(spark, d).filter("text IS NOT NULL AND kind IS NOT NULL").select("chunk_id", html.alias("html")).distinct()
+    return chunks(spark, d, "chunk_id", "kind", "text").filter("text IS NOT NULL AND kind IS NOT NULL").select("chunk_id", html.alias("html"))
 
 
 CLEAN = f"list_filter(list_transform(string_split_regex({{0}}, '{BREAK}'), lambda x: trim(regexp_replace(x, '{SPACE}', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_full_match(x, '(?i)(table of contents|index|page\\s+[0-9]+|[0-9]+|see accompanying notes.*|the accompanying notes.*)'))"
@@ -609,7 +616,7 @@ def narrative_eval_set(spark: SparkSession, d: str) -> DataFrame:
     p = eval_sets.narrative_passages(c, ["1", "1A", "1C", "3", "7", "7A"])
     q = questions(spark, d).select(F.get("gold_chunk_ids", F.lit(0)).alias("id"), "question").groupBy("id").agg(F.min("question").alias("question"))
     answers = q.select("id", F.concat(F.lit("Here: "), F.to_json(F.struct("question", F.lit("topic").alias("topic")))).alias("answer"))
-    near = labels.similar_sets(p.select(F.col("chunk_id").alias("id"), F.col("ticker").alias("group"), "text").distinct())
+    near = labels.similar_sets(p.select("chunk_id", "ticker", "text").toDF("id", "group", "text"))
     out, _ = eval_sets.narrative_questions(p, answers, c.select(F.col("chunk_id").alias("id"), "text").distinct(), near)
     return out.withColumn("gold_chunk_ids", F.array_join("gold_chunk_ids", " "))
 
@@ -617,7 +624,7 @@ def narrative_eval_set(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ablation_result(spark: SparkSession, d: str) -> DataFrame:
     """The ablation as one line of JSON, with where it comes from."""
-    n = chunks(spark, d).select("chunk_id").distinct().count()
+    n = chunks(spark, d, "chunk_id").count()
     r = plans.ablation_result(staged(_ablation(spark, d)), questions(spark, d), ["eval_narrative"], n, "hits")
     return r.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("result"))
 
