@@ -199,29 +199,40 @@ class Mixture:
 
     def set(self, weights: np.ndarray, centres: np.ndarray, covariances: np.ndarray) -> None:
         self.weights, self.centres = weights, centres
-        self.roots, self.base = [], []
+        # A log density is linear in 1, the statistics and their products: one column a component.
         d = centres.shape[1]
-        for w, c in zip(weights, covariances):
-            values, vectors = np.linalg.eigh(c)
+        i, j = np.triu_indices(d)
+        self.linear = np.empty((1 + d + len(i), len(weights)))
+        for k, (w, c, cov) in enumerate(zip(weights, centres, covariances)):
+            values, vectors = np.linalg.eigh(cov)
             values = np.maximum(values, 1e-2)
-            self.roots.append(vectors / np.sqrt(values))
-            self.base.append(math.log(max(w, 1e-12)) - 0.5 * (np.log(values).sum() + d * math.log(2 * math.pi)))
+            a = (vectors / values) @ vectors.T
+            self.linear[0, k] = math.log(max(w, 1e-12)) - 0.5 * (np.log(values).sum() + d * math.log(2 * math.pi) + c @ a @ c)
+            self.linear[1 : 1 + d, k] = a @ c
+            self.linear[1 + d :, k] = np.where(i == j, -0.5, -1.0) * a[i, j]
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -12, 12)
 
     def posterior(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each component's share of each row, and each row's log likelihood."""
-        log = np.empty((len(z), len(self.weights)))
-        for k, (root, base) in enumerate(zip(self.roots, self.base)):
-            y = (z - self.centres[k]) @ root
-            log[:, k] = base - 0.5 * (y * y).sum(1)
+        return self.shared(expanded(z))
+
+    def shared(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of rows already ``expanded``."""
+        log = x @ self.linear
         top = log.max(1, keepdims=True)
         p = np.exp(log - top)
         s = p.sum(1, keepdims=True)
         return p / s, (top + np.log(s))[:, 0]
 
 
+def expanded(z: np.ndarray) -> np.ndarray:
+    """A one, the statistics, and the product of each two of them."""
+    i, j = np.triu_indices(z.shape[1])
+    return np.concatenate([np.ones((len(z), 1)), z, z[:, i] * z[:, j]], axis=1)
+
+
 def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("x").flatten().to_numpy().reshape(-1, len(STATS))
 
@@ -270,7 +281,7 @@ def fit(stats: DataFrame, x: np.ndarray, y: np.ndarray, components: int = 12, ro
     ``x`` of each class in ``y``, at most ``components`` a class and one for four examples, so that
     rare kinds of text get their own; without examples, among the ``sample`` rows with the smallest
     hash of ``doc_id``. Each round is one pass: every partition returns its sums of responsibility,
-    statistics and products, ``k * (1 + d + d * d)`` numbers; eight tasks add them up and the driver
+    statistics and products, ``1 + d + d (d + 1) / 2`` numbers a component; eight tasks add them up and the driver
     adds their eight rows. Nothing that grows with the table reaches it.
     """
     d = len(STATS)
@@ -298,23 +309,21 @@ def fit(stats: DataFrame, x: np.ndarray, y: np.ndarray, components: int = 12, ro
     for _ in range(rounds):
 
         def sums(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            k = len(model.weights)
-            r, s, q, ll = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0
+            total, ll = np.zeros((len(model.weights), model.linear.shape[0])), 0.0
             for b in batches:
-                z = model.standard(_rows(b))
-                p, like = model.posterior(z)
-                r += p.sum(0)
-                s += p.T @ z
-                for j in range(k):
-                    q[j] += (z * p[:, j : j + 1]).T @ z
+                x = expanded(model.standard(_rows(b)))
+                p, like = model.shared(x)
+                total += p.T @ x
                 ll += like.sum()
-            v = np.concatenate([r, s.ravel(), q.ravel(), [ll]])
+            v = np.append(total.ravel(), ll)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))], ["v"])
 
         parts = stats.select("x").mapInArrow(sums, "v array<double>").repartition(8).mapInArrow(added, "v array<double>").collect()
         v = np.sum([np.array(x["v"]) for x in parts], axis=0)
-        k = len(model.weights)
-        r, s, q = v[:k], v[k : k + k * d].reshape(k, d), v[k + k * d : -1].reshape(k, d, d)
+        total = v[:-1].reshape(len(model.weights), -1)
+        r, s, q = total[:, 0], total[:, 1 : 1 + d], np.zeros((len(total), d, d))
+        i, j = np.triu_indices(d)
+        q[:, i, j] = q[:, j, i] = total[:, 1 + d :]
         r = np.maximum(r, 1e-6)
         c = s / r[:, None]
         cov = q / r[:, None, None] - c[:, :, None] * c[:, None, :]
