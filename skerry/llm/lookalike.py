@@ -38,6 +38,9 @@ STYLES = ("<font>", "<wide>", "<narrow>", "<noBreak>", "<compat>", "<initial>",
 #: What a text must hold to be looked at more closely: all but ASCII, typographic quotes and dashes, signs, and letters with accents in one character.
 SUSPECT = r"[^\n\t\r -~¡-¬®-İĴ-ľŁ-ňŊ-ž‐-―‘-‟†-•…‰‹›€™]"
 
+#: Of ASCII, what isn't drawn.
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+
 _mark = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
 _word = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
@@ -259,7 +262,8 @@ def consistent(records: DataFrame) -> DataFrame:
     suspect character go through Python for it; the rest stay in the JVM.
     """
     rows = records.select("tbl", "record_id", "text")
-    suspect = F.col("text").rlike(SUSPECT)
+    # Most texts have as many bytes as characters, so ASCII only, and need no look at the long class.
+    suspect = ((F.octet_length("text") != F.length("text")) & F.col("text").rlike(SUSPECT)) | F.col("text").rlike(CONTROL)
     clean = rows.filter(F.coalesce(~suspect, F.lit(True))).distinct().withColumn("n_changed", F.lit(0)).withColumn("text", F.regexp_replace("text", "\r\n", "\n"))
     scanned = staged(rows.filter(suspect).distinct().mapInArrow(_scan, "tbl string, record_id string, text string, n int, words array<string>"))
     simple = scanned.filter(F.size("words") == 0).select("tbl", "record_id", "text", F.col("n").alias("n_changed"))
