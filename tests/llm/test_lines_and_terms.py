@@ -61,8 +61,8 @@ def brute(data):
 def test_log_entropy(spark, rows):
     data = [("a", "Wheat wheat WHEAT harbour every record"), ("b", "every record holds harbour, harbour"), ("c", "every record"), ("c", "every record"), ("d", None), ("e", ""), (None, "wheat wheat"), ("f", "été straße wheatſ abc"), ("g", "wheat " * 50_000)]
     got = [(*r[:4], round(r[4], 5)) for r in rows(distinctive.log_entropy(records(spark, data)), "chunk_id", "term", "tf", "df", "weight")]
-    assert got == pytest.approx(brute(data)) if False else [(x[:4], y[:4]) for x, y in zip(got, brute(data)) if x[:4] != y[:4] or abs(x[4] - y[4]) > 2e-5] == []
-    assert len(got) == len(brute(data))
+    want = brute(data)
+    assert [x[:4] for x in got] == [x[:4] for x in want] and all(abs(x[4] - y[4]) < 2e-5 for x, y in zip(got, want))
 
 
 def test_one_and_no_record(spark, rows):
