@@ -6,7 +6,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -45,14 +44,27 @@ _mark = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
 _word = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
-@lru_cache(maxsize=100_000)
+# What has been looked up of single characters. Plain dictionaries, since functions under a decorator
+# from the standard library would not travel to the executors by value.
+_SCRIPTS: dict[str, str] = {}
+_PLAIN: dict[str, str | None] = {}
+
+
 def script(ch: str) -> str:
     """The script of a letter by its name; empty for what is no letter."""
-    return unicodedata.name(ch, "").split(" ")[0] if unicodedata.category(ch)[0] == "L" else ""
+    if ch not in _SCRIPTS:
+        _SCRIPTS[ch] = unicodedata.name(ch, "").split(" ")[0] if unicodedata.category(ch)[0] == "L" else ""
+    return _SCRIPTS[ch]
 
 
-@lru_cache(maxsize=100_000)
 def plain(ch: str) -> str | None:
+    """``stand_in``, remembered."""
+    if ch not in _PLAIN:
+        _PLAIN[ch] = stand_in(ch)
+    return _PLAIN[ch]
+
+
+def stand_in(ch: str) -> str | None:
     """What stands for ``ch`` wherever it is: None if it stays, an empty string if it isn't drawn. Letters of other scripts depend on their word and stay here."""
     code = ord(ch)
     kind = unicodedata.category(ch)
