@@ -130,36 +130,66 @@ def _shared(buckets: DataFrame) -> DataFrame:
     return staged(buckets.join(small(multi, MOST_SENT), "bkey").distinct())
 
 
-def candidates(s: DataFrame, most: int = 128) -> DataFrame:
-    """``(a, b)``, ``a < b``: classes that share a band.
+def _rated(rows: DataFrame, block: int = 1024) -> DataFrame:
+    """``(a, b, near, error)``, ``a < b``: all pairs of the classes of each bucket with the estimate of their similarity and its standard error.
 
-    In a bucket of at most ``most`` classes every pair is a candidate. The classes of a larger one
-    must agree on a second of the next twelve bands too; those of a bucket that is still larger have
-    eight registers in common, are nearly the same, and are each paired with the bucket's least
-    class, which keeps the group connected with as many pairs as classes.
+    ``rows(bkey, n, cls, size, reg, keys)``. A bucket is split into blocks of about ``block`` classes
+    and every two blocks are one group's work, so a bucket of any size is many tasks'. A pair comes
+    out of the bucket of the first band its classes share, hence once; so a pair whose first band has
+    a small bucket isn't among these.
+    """
+
+    def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": [], "near": [], "error": []})
+        if not len(left) or not len(right):
+            return none
+        bkey, p, q = key
+        right = right.rename(columns=lambda c: c[1:])
+        ca, cb = left["cls"].to_numpy(), right["cls"].to_numpy()
+        ka, kb = np.stack(left["keys"].to_numpy()), np.stack(right["keys"].to_numpy())
+        ra, rb = (np.frombuffer(b"".join(x["reg"]), np.uint16).reshape(len(x), REGISTERS) for x in (left, right))
+        na, nb = left["size"].to_numpy(), right["size"].to_numpy()
+        open_ = ca[:, None] < cb[None] if p == q else np.ones((len(ca), len(cb)), bool)
+        for j in range(np.flatnonzero(ka[0] == bkey)[0]):
+            open_ &= ka[:, j][:, None] != kb[:, j][None]
+        i, j = np.nonzero(open_)
+        if not len(i):
+            return none
+        step = 20_000
+        rated = [estimate(ra[i[k : k + step]], rb[j[k : k + step]], na[i[k : k + step]], nb[j[k : k + step]]) for k in range(0, len(i), step)]
+        near, error = (np.concatenate(x) for x in zip(*rated))
+        return pd.DataFrame({"a": np.minimum(ca[i], cb[j]), "b": np.maximum(ca[i], cb[j]), "near": near, "error": error})
+
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    kept = ["cls", "size", "reg", "keys"]
+    left = rows.select("bkey", F.col("own").alias("p"), F.explode(F.sequence("own", blocks - 1)).alias("q"), *kept)
+    right = rows.select("bkey", F.explode(F.sequence(F.lit(0), "own")).alias("p"), F.col("own").alias("q"), *kept)
+    # Other names on the right, since both come from the same columns.
+    right = right.select(*(F.col(c).alias(f"r{c}") for c in right.columns))
+    return left.groupBy("bkey", "p", "q").cogroup(right.groupBy("rbkey", "rp", "rq")).applyInPandas(compare, "a long, b long, near double, error double")
+
+
+def candidates(s: DataFrame, most: int = 128) -> tuple[DataFrame, DataFrame | None]:
+    """``(a, b)``, ``a < b``: classes that share a band; and, of buckets of more than ``most`` classes, ``(a, b, near, error)``, if there are such.
+
+    Every pair of every bucket is a candidate. Those of large buckets are estimated where they are
+    formed, block by block, so that only the likely ones need be written.
     """
     sketch = s.select("cls", "keys")
     m = _shared(sketch.select("cls", F.explode("keys").alias("bkey")))
     sizes = m.groupBy("bkey").agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > most).select("bkey")
+    hot = sizes.filter(F.col("n") > most)
 
     def pairs(x: DataFrame) -> DataFrame:
         a, b = x.select("bkey", F.col("cls").alias("a")), x.select("bkey", F.col("cls").alias("b"))
         return a.join(b, "bkey").filter("a < b").select("a", "b")
 
     if hot.isEmpty():
-        return pairs(m).distinct()
+        return pairs(m).distinct(), None
     hot = staged(hot)
-    found = pairs(m.join(hot, "bkey", "left_anti"))
-    second = m.join(hot, "bkey").join(sketch.dropDuplicates(["cls"]), "cls").withColumn("i", F.array_position("keys", F.col("bkey")).cast("int") - 1)
-    step = F.explode(F.sequence(F.lit(1), F.lit(12)))
-    second = second.select("cls", "bkey", "keys", "i", step.alias("step"))
-    second = second.select("cls", F.xxhash64("bkey", F.element_at("keys", F.pmod(F.col("i") + F.col("step"), F.lit(BANDS)) + 1)).alias("bkey"))
-    m2 = _shared(second)
-    sizes2 = staged(m2.groupBy("bkey").agg(F.count("*").alias("n"), F.min("cls").alias("a")).filter(F.col("n") > most).select("bkey", "a"))
-    found = found.union(pairs(m2.join(sizes2.select("bkey"), "bkey", "left_anti")))
-    star = m2.join(sizes2, "bkey").filter("a < cls").select("a", F.col("cls").alias("b"))
-    return found.union(star).distinct()
+    one = s.select("cls", "size", "reg", "keys").dropDuplicates(["cls"])
+    return pairs(m.join(hot, "bkey", "left_anti")).distinct(), _rated(m.join(hot, "bkey").join(one, "cls"))
 
 
 def links(records: DataFrame, key: str, group: str, text: str, n: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +201,7 @@ def links(records: DataFrame, key: str, group: str, text: str, n: int = 5, least
     """
     s = staged(sketches(records, key, group, text, n))
     one = s.select("cls", "reg", "size").dropDuplicates(["cls"])
-    pairs = candidates(s)
+    pairs, rated = candidates(s)
 
     @F.pandas_udf("boolean")
     def likely(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
@@ -182,7 +212,10 @@ def links(records: DataFrame, key: str, group: str, text: str, n: int = 5, least
         return pd.Series(j >= least - 4.5 * e)
 
     left, right = (one.select(F.col("cls").alias(c), F.col("reg").alias(f"r{c}"), F.col("size").alias(f"n{c}")) for c in "ab")
-    pairs = staged(pairs.join(left, "a").join(right, "b").filter(likely("ra", "rb", "na", "nb")).select("a", "b"))
+    pairs = pairs.join(left, "a").join(right, "b").filter(likely("ra", "rb", "na", "nb")).select("a", "b")
+    if rated is not None:
+        pairs = pairs.union(rated.filter(F.col("near") >= least - 4.5 * F.col("error")).select("a", "b")).distinct()
+    pairs = staged(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     ids = s.select("id", "cls").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
 

@@ -131,3 +131,16 @@ def test_five_words_at_four_fifths(spark, rows):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert neardup.close_pairs(df).count() == 0 and neardup.groups(df).count() == 0
+
+
+def test_large_buckets_lose_nothing(spark, rows, monkeypatch):
+    """With a bucket bound of 4 nearly all buckets are hot; every pair still comes out, in blocks of 16 too."""
+    real, rated = neardup.candidates, neardup._rated
+    monkeypatch.setattr(neardup, "candidates", lambda s: real(s, most=4))
+    monkeypatch.setattr(neardup, "_rated", lambda x: rated(x, block=16))
+    r = random.Random(9)
+    base = r.choices(["".join(r.choices("abcdefgh", k=5)) for _ in range(400)], k=200)
+    data = [(f"{i:02d}", "A", " ".join(w if r.random() > 0.02 else "edit" + "x" * r.randrange(9) for w in base)) for i in range(40)]
+    df = spark.createDataFrame(extra(data), SCHEMA)
+    true = brute(data)
+    assert rows(neardup.close_pairs(df)) == true and len(true) == 780
