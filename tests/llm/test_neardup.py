@@ -144,3 +144,13 @@ def test_large_buckets_lose_nothing(spark, rows, monkeypatch):
     df = spark.createDataFrame(extra(data), SCHEMA)
     true = brute(data)
     assert rows(neardup.close_pairs(df)) == true and len(true) == 780
+
+
+def test_one_shared_hot_band_makes_a_candidate(spark):
+    """Six classes that share their first band only, under a bound of 4."""
+    g = np.arange(6 * 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    reg = neardup.registers(g, np.arange(0, 1201, 200))
+    s = [(c, 200, bytearray(reg[c].tobytes()), [-1] + [c * 100 + j for j in range(1, neardup.BANDS)]) for c in range(6)]
+    found, rated = neardup.candidates(spark.createDataFrame(s, "cls long, size int, reg binary, keys array<long>"), most=4)
+    assert found.count() == 0
+    assert sorted((r["a"], r["b"]) for r in rated.collect()) == list(combinations(range(6), 2))
