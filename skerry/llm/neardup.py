@@ -99,7 +99,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
 
 
 def sketches(records: DataFrame, key: str, group: str, text: str, n: int) -> DataFrame:
-    """``(id, cls, size, reg, keys)`` of each record with words: ``cls`` stands for its group and sequence of words, ``size`` counts shingles."""
+    """``(id, cls, copy, size, reg, keys)`` of each record with words: ``cls`` stands for its group and sequence of words, ``copy`` for its stored text, ``size`` counts shingles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -116,12 +116,12 @@ def sketches(records: DataFrame, key: str, group: str, text: str, n: int) -> Dat
                 keys = band_keys(reg, tick)
                 ok = pa.array(size > 0)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
-                out = [b.column(0), pa.array(cls), pa.array(size, pa.int32()), pa.array([r.tobytes() for r in reg], pa.binary()), flat]
-                yield pa.RecordBatch.from_arrays(out, ["id", "cls", "size", "reg", "keys"]).filter(ok)
+                out = [b.column(0), pa.array(cls), b.column(3), pa.array(size, pa.int32()), pa.array([r.tobytes() for r in reg], pa.binary()), flat]
+                yield pa.RecordBatch.from_arrays(out, ["id", "cls", "copy", "size", "reg", "keys"]).filter(ok)
 
     rows = records.filter(F.col(key).isNotNull() & F.col(group).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(key).cast("string").alias("id"), F.xxhash64(group).alias("g"), F.col(text).alias("t"))
-    return rows.mapInArrow(sketch, "id string, cls long, size int, reg binary, keys array<long>")
+    rows = rows.select(F.col(key).cast("string").alias("id"), F.xxhash64(group).alias("g"), F.col(text).alias("t"), F.xxhash64(text).alias("copy"))
+    return rows.mapInArrow(sketch, "id string, cls long, copy long, size int, reg binary, keys array<long>")
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
@@ -193,9 +193,9 @@ def candidates(s: DataFrame, most: int = 128) -> tuple[DataFrame, DataFrame | No
 
 
 def links(records: DataFrame, key: str, group: str, text: str, n: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """``(a, b, similarity)`` between classes at ``least`` or more, and ``(id, cls)`` of all records with words.
+    """``(a, b, similarity)`` between classes at ``least`` or more, and ``(id, cls, copy)`` of all records with words.
 
-    Records of one class have the same words in the same order. Sketches are banded into candidates;
+    Records of one class have the same words in the same order; those of one ``copy`` also the same text. Sketches are banded into candidates;
     a candidate whose corrected estimate lies more than four and a half standard errors under
     ``least`` is dropped; the rest are verified on the shingles of the texts themselves.
     """
@@ -233,29 +233,39 @@ def links(records: DataFrame, key: str, group: str, text: str, n: int = 5, least
     j = both / (F.size("sa") + F.size("sb") - both)
     left, right = (exact.select(F.col("cls").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
     found = pairs.join(left, "a").join(right, "b").withColumn("similarity", j).filter(F.col("similarity") >= least)
-    return found.select("a", "b", F.round("similarity", 6).alias("similarity")), s.select("id", "cls").distinct()
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity")), s.select("id", "cls", "copy").distinct()
 
 
 def close_pairs(records: DataFrame, key: str = "chunk_id", group: str = "ticker", text: str = "text", n: int = 2, least: float = 0.55, most: int = 64) -> DataFrame:
     """``(<key>_a, <key>_b)``: different records of one ``group`` whose sets of ``n`` adjacent words have a Jaccard similarity of at least ``least``.
 
     Records with the same words in the same order form a class. Links are found between classes; the
-    members of classes of at most ``most`` are written out as pairs, of one another and across
-    links. A larger class stands for itself by its least member, which each other member is paired
-    with: so copies, however many, give as many rows, and no link between different texts is lost.
+    members of classes are written out as pairs, of one another and across links, in blocks of
+    about a thousand members. Only of more than ``most`` records with the very same text the least
+    stands for all and is paired with each other one: so copies, however many, give as many rows,
+    and no pair of different texts is lost but for copies beyond the least.
 
     Null keys, groups and texts and texts without words pair with nothing; repeated rows count once;
     extra columns are ignored; an empty table gives an empty result.
     """
     found, members = links(records, key, group, text, n, least)
-    size = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
-    m = members.join(size, "cls", "left")
-    shown = m.filter((F.col("n").isNull()) | (F.col("n") <= most) | (F.col("id") == F.col("first"))).select("id", "cls")
-    a, b = shown.select(F.col("id").alias("ia"), F.col("cls").alias("a")), shown.select(F.col("id").alias("ib"), F.col("cls").alias("b"))
-    across = found.join(a, "a").join(b, "b").select("ia", "ib")
-    copies = shown.join(size.filter(F.col("n") <= most).select("cls"), "cls", "left_semi")
-    copies = copies.select("cls", F.col("id").alias("ia")).join(copies.select("cls", F.col("id").alias("ib")), "cls").filter("ia < ib").select("ia", "ib")
-    star = m.filter((F.col("n") > most) & (F.col("id") > F.col("first"))).select(F.col("first").alias("ia"), F.col("id").alias("ib"))
+    size = members.groupBy("cls", "copy").agg(F.countDistinct("id").alias("n"), F.min("id").alias("first")).filter(F.col("n") > most)
+    m = staged(members.join(size, ["cls", "copy"], "left"))
+    shown = m.filter(F.col("n").isNull() | (F.col("id") == F.col("first"))).select("id", "cls").distinct()
+    # Blocks of a class, so that the members of a large one meet in many tasks.
+    blocks = shown.groupBy("cls").agg(F.ceil(F.count("*") / 1024).cast("int").alias("k"), F.count("*").alias("members"))
+    shown = staged(shown.join(blocks, "cls").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    several = shown.filter("members > 1")
+    a = several.select("cls", F.col("own").alias("p"), every.alias("q"), F.col("id").alias("ia"))
+    b = several.select("cls", every.alias("p"), F.col("own").alias("q"), F.col("id").alias("ib"))
+    copies = a.join(b, ["cls", "p", "q"]).filter("ia < ib").select("ia", "ib")
+    a, b = (shown.select(F.col("id").alias(f"i{c}"), F.col("cls").alias(c), F.col("own").alias(f"p{c}")) for c in "ab")
+    ka, kb = (blocks.select(F.col("cls").alias(c), F.col("k").alias(f"k{c}")) for c in "ab")
+    met = found.select("a", "b").join(ka, "a").join(kb, "b")
+    met = met.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)))
+    across = met.join(a, ["a", "pa"]).join(b, ["b", "pb"]).select("ia", "ib")
+    star = m.filter(F.col("n").isNotNull() & (F.col("id") > F.col("first"))).select(F.col("first").alias("ia"), F.col("id").alias("ib"))
     out = across.union(copies).union(star).filter("ia <> ib")
     return out.select(F.least("ia", "ib").alias(f"{key}_a"), F.greatest("ia", "ib").alias(f"{key}_b")).distinct()
 
@@ -289,7 +299,7 @@ def groups(records: DataFrame, key: str = "chunk_id", group: str = "ticker", tex
     ``group_id`` is the least ``<key>`` of the group; a record like no other is a group of one.
     """
     found, members = links(records, key, group, text, n, least)
-    found, members = staged(found), staged(members)
+    found, members = staged(found), staged(members.select("id", "cls").distinct())
     roots = components(found)
     degree = found.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     classes = members.groupBy("cls").agg(F.count("*").alias("n_copies"), F.min("id").alias("first"))

@@ -154,3 +154,12 @@ def test_one_shared_hot_band_makes_a_candidate(spark):
     found, rated = neardup.candidates(spark.createDataFrame(s, "cls long, size int, reg binary, keys array<long>"), most=4)
     assert found.count() == 0
     assert sorted((r["a"], r["b"]) for r in rated.collect()) == list(combinations(range(6), 2))
+
+
+def test_texts_of_a_class_that_differ_are_all_paired(spark, rows):
+    """A hundred notices that differ in their figures only, and one that links to them; the copies of one text are collapsed."""
+    data = [(f"v{i:03d}", "A", f"revenue of {i} dollars in the year {1900 + i} was as shown") for i in range(100)] + [("w", "A", "revenue of x dollars in the year was as shown")]
+    assert rows(neardup.close_pairs(spark.createDataFrame(extra(data), SCHEMA))) == brute(data)
+    data += [(f"z{i}", "A", "Revenue of 7 dollars in the year 1 was as shown") for i in range(5)]
+    true = [p for p in brute(data) if not set(p) & {f"z{i}" for i in range(1, 5)}] + [("z0", f"z{i}") for i in range(1, 5)]
+    assert rows(neardup.close_pairs(spark.createDataFrame(extra(data), SCHEMA), most=4)) == sorted(true)
