@@ -82,3 +82,17 @@ def test_tables_give_the_products():
     table = sum(t[:, j][:, codes[:, j]] for j in range(8)) + x[:10] @ c[own].T
     assert np.allclose(table, x[:10] @ decoded.T, atol=1e-3)
     assert ((x - decoded) ** 2).sum() < 0.6 * ((x - x.mean(0)) ** 2).sum()
+
+
+def test_pairs_within_a_dense_cluster(spark, rows, monkeypatch):
+    """A third of all rows lie close together, over a third of the lists: nine tenths of the pairs are found."""
+    real = neighbours.fit_index
+    monkeypatch.setattr(neighbours, "fit_index", lambda unit, dim, n: real(unit, dim, n, a_list=16))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4500, 64)).astype("f4")
+    c = rng.normal(size=64)
+    x[:1500] = c / np.linalg.norm(c) + rng.normal(size=(1500, 64)) * np.sqrt((1 / 0.93 - 1) / 64)
+    s = cosines(x)
+    true = {(int(min(i, j)), int(max(i, j))) for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
+    got = {tuple(r) for r in rows(neighbours.close_pairs(frame(spark, x)))}
+    assert len(true) > 5000 and len(got & true) >= 0.9 * len(true)
