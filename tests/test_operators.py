@@ -283,3 +283,14 @@ def test_narrative_questions(spark):
     q, rejected = eval_sets.narrative_questions(p, answers, chunks.select("chunk_id", "text").toDF("id", "text"), near)
     assert [(r["qid"], r["gold_chunk_ids"]) for r in q.collect()] == [("1-narr", ["1", "5"])]
     assert [tuple(r) for r in rejected.collect()] == [("shared", 1)]
+
+
+def test_narrative_gold_holds_all_members_of_classes(spark):
+    """Passages 1 and 2 have the same words, 3 and 4 others near to these: each kept one has all as gold."""
+    body = "Freight volumes fell as harbour strikes closed several terminals for weeks. " * 15
+    rows = [(i, "A", "7", None, "text", "2024-01-01", t) for i, t in (("1", body), ("2", body.upper()), ("3", body + "again"), ("4", body + "again again"), ("5", "Another passage of quite other content is here. " * 20))]
+    p = spark.createDataFrame(rows, "chunk_id string, ticker string, item string, item_title string, kind string, report_date string, text string")
+    answers = spark.createDataFrame([("4", '{"question": "Why did A ship less cargo through ports lately?"}')], "id string, answer string")
+    near = labels.similar_sets(p.select("chunk_id", "ticker", "text").toDF("id", "group", "text"))
+    q, _ = eval_sets.narrative_questions(p, answers, p.select("chunk_id", "text").toDF("id", "text"), near)
+    assert [r["gold_chunk_ids"] for r in q.collect()] == [["4", "1", "2", "3"]]
