@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bytes of rows that may be sent to every executor.
+SENT_BYTES = 64_000_000
 _STAGED: list[str] = []
 
 
@@ -17,9 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a folder of this machine only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of this machine, if the session runs on this machine alone;
+    on a cluster it raises, since executors elsewhere couldn't read what others wrote.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skerry-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -61,9 +71,31 @@ def hot_keys(df: DataFrame, key: str, rows: int, most: int = 1000) -> list:
     return [r[0] for r in counts.filter(F.col("n") > bound).select(key).collect()]
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """``df``, to be broadcast if it is counted to have at most ``most`` rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def held_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` take in memory, by one pass: fixed widths as such, strings and arrays as long as they are."""
+
+    def width(name: str, kind: T.DataType) -> Column | int:
+        c = F.col(f"`{name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(c) + 8
+        if isinstance(kind, T.ArrayType):
+            each = kind.elementType
+            inner = F.aggregate(c, F.lit(0), lambda s, x: s + F.coalesce(F.octet_length(x), F.lit(0))) if isinstance(each, (T.StringType, T.BinaryType)) else F.lit(0)
+            return F.size(c) * 16 + inner
+        return 64 if isinstance(kind, (T.StructType, T.MapType)) else 8
+
+    widths = [width(f.name, f.dataType) for f in df.schema.fields]
+    fixed = 32 + sum(w for w in widths if isinstance(w, int))
+    row = sum((F.coalesce(w, F.lit(0)) for w in widths if not isinstance(w, int)), F.lit(fixed)).cast("long")
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def small(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
+    """``df``, to be broadcast if its rows are measured to take at most ``most`` bytes; else left to a shuffled join.
+
+    Measuring is a pass of its own, so ``df`` should be cheap to read again: staged, or a few columns of a table.
+    """
+    return F.broadcast(df) if held_bytes(df) <= most else df
 
 
 def shuffle_parts(spark: SparkSession) -> int:
