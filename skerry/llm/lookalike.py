@@ -246,7 +246,7 @@ def spellings(words: DataFrame, texts: DataFrame, shards: int | None = None) ->
     asked = staged(words.distinct().withColumn("key", to_key("word")))
     keys = asked.select("key").distinct()
     count = texts.mapInArrow(_vocabulary, "key string, word string, n long")
-    known = count.join(small(keys, 500_000), "key", "left_semi").groupBy("key", "word").agg(F.sum("n").alias("n"))
+    known = count.join(small(keys), "key", "left_semi").groupBy("key", "word").agg(F.sum("n").alias("n"))
     shards = shards or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards * 4)).cast("int")
 

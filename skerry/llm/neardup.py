@@ -19,7 +19,6 @@ REGISTERS = REPEATS * BUCKETS
 ROWS = 4  # registers in a band
 BANDS = REGISTERS // ROWS
 REST = 58  # bits of a hash below the bucket's
-MOST_SENT = 1_000_000  # rows of keys, of 50 bytes or so, that are sent to every task
 EMPTY = 0xFFFF
 
 
@@ -127,7 +126,7 @@ def sketches(records: DataFrame, key: str, group: str, text: str, n: int) -> Dat
 def _shared(buckets: DataFrame) -> DataFrame:
     """The rows of ``(bkey, cls)`` whose bucket holds several classes, once each. Staged."""
     multi = staged(buckets.groupBy("bkey").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("bkey"))
-    return staged(buckets.join(small(multi, MOST_SENT), "bkey").distinct())
+    return staged(buckets.join(small(multi), "bkey").distinct())
 
 
 def _rated(rows: DataFrame, block: int = 1024) -> DataFrame:
@@ -227,7 +226,7 @@ def links(records: DataFrame, key: str, group: str, text: str, n: int = 5, least
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(g.view(np.int64)))], ["cls", "set"])
 
     rows = records.filter(F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("t"))
-    texts = rows.join(small(ids, MOST_SENT), "id").select("cls", "t")
+    texts = rows.join(small(staged(ids)), "id").select("cls", "t")
     exact = staged(texts.mapInArrow(sets, "cls long, set array<long>").dropDuplicates(["cls"]))
     both = F.size(F.array_intersect("sa", "sb"))
     j = both / (F.size("sa") + F.size("sb") - both)

@@ -13,29 +13,49 @@ from skerry.llm.tokens import VOCABULARY, token_count
 from skerry.runtime import staged
 
 
-def best_configuration(sizes: np.ndarray, worth: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each size fill a container at the greatest worth: unbounded knapsack, then no more than ``counts`` of each."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    order = np.argsort(sizes)
-    s, w = sizes[order], worth[order]
-    fit = np.searchsorted(s, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], pick[c] = best[c - 1], -1
-        if k := fit[c]:
-            v = best[c - s[:k]] + w[:k]
-            i = int(np.argmax(v))
-            if v[i] > best[c]:
-                best[c], pick[c] = v[i], i
-    a = np.zeros(len(sizes), np.int64)
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            a[order[pick[c]]] += 1
-            c -= int(s[pick[c]])
-    return np.minimum(a, counts)
+class Knapsack:
+    """Unbounded knapsack over ascending ``sizes``: the greatest worth of every capacity up to ``capacity``, and the choices behind it."""
+
+    def __init__(self, sizes: np.ndarray, worth: np.ndarray, capacity: int):
+        self.sizes = sizes
+        self.best = best = np.zeros(capacity + 1)
+        self.pick = pick = np.full(capacity + 1, -1)
+        fit = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+        # Larger sizes reach back over a whole block of capacities, which are looked at together; smaller ones only one by one.
+        block = 32
+        low = int(np.searchsorted(sizes, block))
+        for at in range(1, capacity + 1, block):
+            to = min(at + block, capacity + 1)
+            c = np.arange(at, to)
+            if k := int(fit[to - 1]) - low:
+                back = c[:, None] - sizes[None, low : low + k]
+                v = np.where(back >= 0, best[np.maximum(back, 0)] + worth[low : low + k], -1.0)
+                i = v.argmax(1)
+                best[at:to], pick[at:to] = v[np.arange(len(c)), i], i + low
+            for x in range(at, to):
+                if best[x - 1] >= best[x]:
+                    best[x], pick[x] = best[x - 1], -1
+                if m := min(low, int(fit[x])):
+                    v1 = best[x - sizes[:m]] + worth[:m]
+                    i1 = int(v1.argmax())
+                    if v1[i1] > best[x]:
+                        best[x], pick[x] = v1[i1], i1
+
+    def configuration(self, counts: np.ndarray, with_size: int | None = None) -> np.ndarray:
+        """How many of each size fill the capacity at the greatest worth, or at the greatest with at least one of a given size; no more than ``counts`` of each."""
+        a = np.zeros(len(self.sizes), np.int64)
+        c = len(self.best) - 1
+        if with_size is not None:
+            a[with_size] = 1
+            c -= int(self.sizes[with_size])
+        while c > 0:
+            i = self.pick[c]
+            if i < 0:
+                c -= 1
+            else:
+                a[i] += 1
+                c -= int(self.sizes[i])
+        return np.minimum(a, counts)
 
 
 def fill(sizes: np.ndarray, counts: np.ndarray, capacity: int, a: np.ndarray) -> np.ndarray:
@@ -49,62 +69,105 @@ def fill(sizes: np.ndarray, counts: np.ndarray, capacity: int, a: np.ndarray) ->
     return a
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 800, steep: float = 8.0, spare: float = 0.001) -> list[tuple[np.ndarray, int]]:
-    """``(items of each size, containers)``: patterns that hold every item of the histogram, exactly.
+def program(s: np.ndarray, d: np.ndarray, capacity: int, rounds: int = 60, columns: int = 32, steep: float = 8.0) -> list[tuple[np.ndarray, float]]:
+    """A fractional solution of the covering program: ``(items of each size, containers)``, the sizes ``s`` (ascending) covered by their counts ``d``.
 
-    Covering program: the fewest containers so that each size is covered by its count. Prices start
-    halfway between an item's share of a container and that of the containers it needs alone, and by
-    multiplicative weights fall as a size is covered; the configuration of greatest worth is found by
-    dynamic programming and taken as often as the scarcest of its sizes allows. The fractional
-    multiplicities, scaled to cover once, are rounded down; a configuration that leaves more than
-    ``spare`` of a container free isn't used. What is left over is filled largest first, each
-    pattern as full as any choice of items makes it and as often as it fits, which ends after at
-    most one pattern a size. Work depends on ``capacity`` and ``rounds``, not on the number of items.
+    Prices start halfway between an item's share of a container and that of the containers it needs
+    alone, and by multiplicative weights fall as a size is covered. One dynamic program a round
+    prices the configuration of greatest worth and, for each of the ``columns`` sizes covered least,
+    the best one that holds it; each is taken as often as the scarcest of its sizes allows. What
+    covers more than once is scaled down.
     """
-    keep = counts > 0
-    full_sizes, n_all = sizes, len(sizes)
-    at = np.flatnonzero(keep)
-    order = at[np.argsort(full_sizes[at])]
-    s, d = full_sizes[order].astype(np.int64), counts[order].astype(np.int64)
-    plan: list[tuple[np.ndarray, int]] = []
-
-    def out(a: np.ndarray, m: int) -> None:
-        x = np.zeros(n_all, np.int64)
-        x[order] = a
-        plan.append((x, int(m)))
-
-    if len(s) == 0:
-        return plan
     covered = np.zeros(len(s))
     base = 0.5 * s / capacity + 0.5 / (capacity // s)
     chosen: dict[bytes, float] = {}
     for _ in range(rounds):
-        if covered.min() >= 1.0:
-            break
-        price = base * np.exp(-steep * (covered - covered.min()))
-        a = best_configuration(s, price / d, d, capacity)
-        if not a.any():
+        least = covered.min()
+        if least >= 1.0:
             break
-        step = float((d[a > 0] / a[a > 0]).min())
-        chosen[a.tobytes()] = chosen.get(a.tobytes(), 0.0) + step
-        covered += step * a / d
-    left = d.copy()
+        table = Knapsack(s, base * np.exp(-steep * (covered - least)) / d, capacity)
+        # A size that a column before has covered meanwhile is passed over.
+        bound = np.sort(covered)[min(columns, len(s)) - 1]
+        for i in [None, *np.argsort(covered, kind="stable")[:columns]]:
+            if i is not None and (covered[i] >= 1.0 or covered[i] > bound):
+                continue
+            a = table.configuration(d, i)
+            if a.any():
+                step = float((d[a > 0] / a[a > 0]).min())
+                chosen[a.tobytes()] = chosen.get(a.tobytes(), 0.0) + step
+                covered += step * a / d
     scale = 1.0 / max(1.0, float(np.average(covered, weights=d * s)))
-    for raw, x in sorted(chosen.items(), key=lambda kv: -kv[1]):
-        a = np.frombuffer(raw, np.int64)
-        m = min(int(x * scale), int((left[a > 0] // a[a > 0]).min()))
-        if m > 0 and a @ s >= (1 - spare) * capacity:
-            out(a, m)
-            left -= m * a
+    return sorted(((np.frombuffer(k, np.int64), x * scale) for k, x in chosen.items()), key=lambda kv: -kv[1])
+
+
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, passes: int = 3, spare: float = 0.001) -> list[tuple[np.ndarray, int]]:
+    """``(items of each size, containers)``: patterns that hold every item of the histogram, exactly.
+
+    The covering program (:func:`program`) asks for the fewest containers. Its multiplicities are
+    rounded up as far as the items left allow, the largest first. A configuration whose items are partly
+    gone, or that leaves more than ``spare`` of a container free, is repaired by filling it up with
+    items left, and not used if that doesn't do. The program is then solved again for what is left,
+    until it places nothing or ``passes`` are over. The rest is filled largest first, each pattern as
+    full as any choice of items makes it and as often as it fits, which ends after at most one
+    pattern a size. Of the plans after each pass the last is taken that needs at most 0.05 % more
+    containers than the best. Work depends on ``capacity`` and the bounds here, not on the number of items.
+    """
+    return [(a, m) for a, m, _ in _patterns(sizes, counts, capacity, passes, spare)]
+
+
+def placed_by_program(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> float:
+    """The share of containers that the program fills; the others are filled largest first."""
+    found = _patterns(sizes, counts, capacity, 3, 0.001)
+    return sum(m for _, m, solved in found if solved) / max(1, sum(m for _, m, _ in found))
+
+
+def _patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int, passes: int, spare: float) -> list[tuple[np.ndarray, int, bool]]:
+    at = np.flatnonzero(counts > 0)
+    order = at[np.argsort(sizes[at])]
+    s, left = sizes[order].astype(np.int64), counts[order].astype(np.int64)
+    solved: list[tuple[np.ndarray, int, bool]] = []
+    plans = []
+    for _ in range(passes):
+        some = np.flatnonzero(left)
+        placed = 0
+        for part, x in program(s[some], left[some], capacity) if len(some) else []:
+            a = np.zeros(len(s), np.int64)
+            a[some] = part
+            a = np.minimum(a, left)
+            if a @ s < 0.9 * capacity:
+                continue
+            if a @ s < (1 - spare) * capacity:
+                a = exact_fill(s, left, capacity, a)
+            m = min(int(np.ceil(x - 1e-9)), int((left[a > 0] // a[a > 0]).min()))
+            if a @ s >= (1 - spare) * capacity:
+                solved.append((a, m, True))
+                left -= m * a
+                placed += m
+        plans.append(solved + [(a, m, False) for a, m in _largest_first(s, left, capacity)])
+        if not placed:
+            break
+    needs = [sum(m for _, m, _ in p) for p in plans]
+    best = next(p for p, n in zip(reversed(plans), reversed(needs)) if n <= 1.0005 * min(needs))
+    out = []
+    for a, m, by_program in best:
+        x = np.zeros(len(sizes), np.int64)
+        x[order] = a
+        out.append((x, int(m), by_program))
+    return out
+
+
+def _largest_first(s: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns that each begin with the largest size left and is as full as any choice of items makes them, as often as they fit."""
+    left, found = counts.copy(), []
     while left.any():
         top = int(np.flatnonzero(left)[-1])
         a = np.zeros(len(s), np.int64)
         a[top] = 1
         a = exact_fill(s, left, capacity, a)
         m = int((left[a > 0] // a[a > 0]).min())
-        out(a, m)
+        found.append((a, m))
         left -= m * a
-    return plan
+    return found
 
 
 def exact_fill(sizes: np.ndarray, counts: np.ndarray, capacity: int, a: np.ndarray) -> np.ndarray:
@@ -189,5 +252,12 @@ def pack(docs: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity:
 
 
 def token_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, n_tokens)`` of every distinct document with a text."""
-    return documents.select("doc_id", "text").filter("text IS NOT NULL AND text <> ''").select("doc_id", token_count("text", vocabulary).alias("n_tokens")).distinct()
+    """``(doc_id, n_tokens)`` of every distinct document with a text. Staged, so that each text is measured once."""
+    sized = documents.select("doc_id", "text").filter("text IS NOT NULL AND text <> ''").select("doc_id", token_count("text", vocabulary).alias("n_tokens"))
+    return staged(sized.distinct())
+
+
+def split_items(packed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(<key>)`` of the items that :func:`pack` had to spread over several containers: those that exceed one."""
+    where = packed.groupBy(key).agg(F.min("container_id").alias("a"), F.max("container_id").alias("b"))
+    return where.filter("a <> b").select(key)

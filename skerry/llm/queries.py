@@ -75,7 +75,7 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_containers(spark, d).filter("piece_no = 1").select("doc_id")
+    return packing.split_items(p8_containers(spark, d))
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -23,6 +23,9 @@ sp AS (SELECT term, count(*) AS df, round(greatest(0, least(1, 1 - (ln(sum(tf))
 STAND_IN = r"[\x{ff01}-\x{ff5e}\x{1d400}-\x{1d7ff}\x{fb00}-\x{fb06}\x{0300}-\x{036f}\x{a0}\x{1680}\x{2000}-\x{200f}\x{202a}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}\x{ad}]"
 MIXED = r"[A-Za-z\x{c0}-\x{24f}][\x{370}-\x{52f}]|[\x{370}-\x{52f}][A-Za-z\x{c0}-\x{24f}]"
 
+#: Tokens by a plain measure; problems 8 and 9 ask for what is the same under any tokenizer.
+MEASURED = r"md AS (SELECT doc_id, source, len(regexp_extract_all(text, '\p{L}{1,5}|\p{N}|[^\s\p{L}\p{N}]')) AS n FROM (SELECT DISTINCT doc_id, source, text FROM documents))"
+
 SQL = {
     "p1_found": f"WITH {HITS} SELECT qid, chunk_id FROM f WHERE fused_rank = 1",
     "p1_ranking": f"WITH {HITS} SELECT qid, chunk_id, rrf, fused_rank FROM f",
@@ -36,5 +39,7 @@ SELECT DISTINCT tbl, record_id FROM t WHERE regexp_matches(text, '{STAND_IN}') O
 SELECT c.chunk_id, CASE WHEN c.kind = 'text' AND d IS NOT NULL AND text IS NOT NULL THEN array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(d, i)), lambda i: string_split(text, chr(10))[i]), chr(10)) ELSE text END AS text,
 CASE WHEN c.kind = 'text' AND d IS NOT NULL AND text IS NOT NULL THEN len(d)::INT ELSE 0 END AS n_removed FROM (SELECT DISTINCT chunk_id, kind, text FROM chunks) c LEFT JOIN d ON c.chunk_id = d.chunk_id""",
     "p7_found": f"WITH {TERMS} SELECT chunk_id, tf.term FROM tf JOIN sp ON tf.term = sp.term WHERE tf >= 3 AND df <= 3",
+    "p8_found": f"WITH {MEASURED} SELECT DISTINCT doc_id FROM md WHERE n > 2048",
+    "p9_found": f"WITH {MEASURED}, s AS (SELECT source, sum(n) AS n FROM md GROUP BY source) SELECT t.source FROM (SELECT DISTINCT * FROM mix_targets) t LEFT JOIN s ON s.source = t.source WHERE t.source IS NOT NULL AND coalesce(weight, 0) * (SELECT sum(n) FROM md) > coalesce(max_repeats, 0) * coalesce(s.n, 0)",
     "p7_weights": f"WITH {TERMS} SELECT chunk_id, tf.term, tf::INT AS tf, df, round(ln(tf + 1.0) * g, 6) AS weight FROM tf JOIN sp ON tf.term = sp.term",
 }
