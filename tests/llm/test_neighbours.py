@@ -56,7 +56,7 @@ def test_equal_directions_and_a_hot_list(spark):
     """A third of all rows point the same way; their list is split, and ties go to the least ids."""
     x = made(900, 2)
     x[:300] = x[0] * np.linspace(1, 2, 300)[:, None].astype("f4")
-    got = neighbours.similar(frame(spark, x), k=3, block=50, probes=8).toPandas()
+    got = neighbours.similar(frame(spark, x), k=3, cell=50, part=40).toPandas()
     tied = got[got["id"] < 300]
     assert (tied["cosine"] > 0.9999).all() and tied.groupby("id").size().eq(3).all()
     assert set(tied[tied["id"] == 7]["other_id"]) == {0, 1, 2}
@@ -74,20 +74,25 @@ def test_tables_give_the_products():
     x = rng.normal(size=(500, 64)).astype("f4")
     c = neighbours.kmeans(x, 8, 5, rng)
     own = neighbours.nearest(x, c, 1)[:, 0]
-    books = np.stack([neighbours.kmeans((x - c[own])[:, j * 8 : j * 8 + 8], 64, 5, rng) for j in range(8)])
-    index = neighbours.Index(c, books)
-    codes = index.codes(x, own)
-    decoded = c[own] + np.concatenate([books[j][codes[:, j]] for j in range(8)], axis=1)
-    t = index.tables(x[:10])
-    table = sum(t[:, j][:, codes[:, j]] for j in range(8)) + x[:10] @ c[own].T
-    assert np.allclose(table, x[:10] @ decoded.T, atol=1e-3)
+    index = neighbours.Index(c, np.zeros((8, 1, 8), "f4"))
+    r, scale = index.rest(x, own)
+    assert np.allclose(scale[:, :1] * index.axes[own] + scale[:, 1:] * r, x, atol=1e-4)
+    index.books = np.stack([neighbours.kmeans(r[:, j * 8 : j * 8 + 8], 64, 5, rng) for j in range(8)])
+    codes = index.codes(r)
+    decoded = index.decoded(codes, scale, own)
+    for i in range(20):
+        axis = index.axes[own[i]]
+        q = x[-1 - i]
+        t = index.tables((q - (q @ axis) * axis)[None])[0]
+        assert np.isclose((q @ axis) * scale[i, 0] + scale[i, 1] * sum(t[j][codes[i, j]] for j in range(8)), q @ decoded[i], atol=1e-3)
     assert ((x - decoded) ** 2).sum() < 0.6 * ((x - x.mean(0)) ** 2).sum()
+    assert np.allclose((decoded * index.axes[own]).sum(1), scale[:, 0], atol=1e-4)
 
 
 def test_pairs_within_a_dense_cluster(spark, rows, monkeypatch):
     """A third of all rows lie close together, over a third of the lists: nine tenths of the pairs are found."""
     real = neighbours.fit_index
-    monkeypatch.setattr(neighbours, "fit_index", lambda unit, dim, n: real(unit, dim, n, a_list=16))
+    monkeypatch.setattr(neighbours, "fit_index", lambda unit, dim, n: real(unit, dim, n * 18))
     rng = np.random.default_rng(5)
     x = rng.normal(size=(4500, 64)).astype("f4")
     c = rng.normal(size=64)
@@ -96,3 +101,32 @@ def test_pairs_within_a_dense_cluster(spark, rows, monkeypatch):
     true = {(int(min(i, j)), int(max(i, j))) for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
     got = {tuple(r) for r in rows(neighbours.close_pairs(frame(spark, x)))}
     assert len(true) > 5000 and len(got & true) >= 0.9 * len(true)
+
+
+def test_lists_that_no_query_visits(spark):
+    x = made(9000, 6)
+    got = neighbours.similar(frame(spark, x), every=9000, probes=2, cell=100).toPandas()
+    assert len(got) == 5 and set(got["id"]) == {0} and str(got["other_chunk_id"][0]) == f"c{got['other_id'][0]}"
+
+
+def test_layout_changes_no_result(spark, rows):
+    x = made(1200, 7)
+    a = neighbours.similar(frame(spark, x), every=3)
+    b = neighbours.similar(frame(spark, x), every=3, cell=100, part=50, rerank=400, kept=40)
+    wide = neighbours.similar(frame(spark, x), every=3, rerank=400, kept=40)
+    assert rows(b) == rows(wide)
+    same = len(set(rows(a)) & set(rows(wide)))
+    assert same >= 0.99 * wide.count()
+
+
+def test_cells_hold_few_rows():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 60, 200)
+    sizes[7] = 950
+    first, span = neighbours.cells(rng.normal(size=(200, 8)).astype("f4"), sizes, 300)
+    held = np.zeros(int((first + span).max()))
+    for i in range(200):
+        held[first[i] : first[i] + span[i]] += sizes[i] / span[i]
+    assert span[7] == 4 and held.max() <= 300 and len(held) < 2 * sizes.sum() / 300 + 5
+    row, cell, at, lists = neighbours._visits(np.array([[7, 3], [3, 5]]), first, span)
+    assert len(row) == len(cell) == len(at) - 1 and sorted(lists[at[0] : at[-1]].tolist()).count(7) == 4
