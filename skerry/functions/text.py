@@ -26,6 +26,9 @@ NOISE_LINE = r"(?i)^(table of contents|index|page\s+\d+|\d+|see accompanying not
 #: A heading of a numbered item (fixed values).
 ITEM_HEADING = r"(?i)^item\s+(\d{1,2}[A-C]?)\s*[.:\-–—]?\s*(.{0,120})$"
 
+#: What an error message says of something that may pass (fixed values).
+TRANSIENT_MESSAGE = r"(?i)\b(408|429|50\d|52\d)\b|timeout|timed out|connection|terminated|temporarily|overload|unavailable"
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -143,4 +146,4 @@ def filing_url(base: str, cik: Column | str, accession: Column | str, document:
 
 def transient_error(message: Column | str) -> Column:
     """Whether an error message speaks of something that may pass."""
-    return F.coalesce(_c(message).rlike(r"(?i)\b(408|429|50\d|52\d)\b|timeout|timed out|connection|terminated|temporarily|overload|unavailable"), F.lit(False))
+    return F.coalesce(_c(message).rlike(TRANSIENT_MESSAGE), F.lit(False))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.text import index_tokens, rerank_text
-from skerry.runtime import small
+from skerry.runtime import small, staged
 
 
 def best(df: DataFrame, group: list[str], score: str, tie: str, k: int, rank: str = "rnk") -> DataFrame:
@@ -39,6 +41,8 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 50, without_se
     q = q.filter(F.size("v") == d).withColumn("bq", mod("qid", bq)).withColumn("bx", every(bx))
     x = x.filter(F.size("v") == d).withColumn("bx", mod("id", bx)).withColumn("bq", every(bq))
     kinds = queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    # An empty frame has the columns' types too: without values pandas would make them numbers.
+    none = {c: pd.Series([], dtype=object if k == "string" else "int64") for c, k in zip(("qid", "id"), kinds)} | {"score": pd.Series([], dtype=float)}
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -57,7 +61,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 50, without_se
                 edge = -np.partition(-s, n - 1, axis=1)[:, n - 1]
                 row, col = np.nonzero((s >= edge[:, None]) & (s > -2))
                 out.append(pd.DataFrame({"qid": qids[i + row], "id": ids[col], "score": s[row, col]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "score": []})
+        return pd.concat(out) if out else pd.DataFrame(none)
 
     found = q.groupBy("bq", "bx").cogroup(x.groupBy("bq", "bx")).applyInPandas(product, f"qid {kinds[0]}, id {kinds[1]}, score double")
     return best(found, ["qid"], "score", "id", k)
@@ -70,26 +74,137 @@ def postings(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return post, t.select("id", F.size("tokens").alias("dl")), post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25_scores(queries: DataFrame, post: DataFrame, docs: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75, keep_zero: bool = False, places: int = 6) -> DataFrame:
-    """``(qid, id, score)`` of ``queries(qid, question)``: the sum over a question's tokens, repeats included, of idf times saturated tf.
-
-    ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; a tf of ``tf`` counts ``tf / (tf + k1 (1 - b + b dl / avgdl))``.
-    Only postings of the questions' terms are read. They are partitioned by document, so that, as
-    long as the questions' weighted terms are few enough to be sent everywhere, sums and each task's
-    best are made where the postings lie and only those best are shuffled. Documents that share no
-    term don't come out; those whose sum isn't positive only with ``keep_zero``.
-    """
+def _impacts(queries: DataFrame, post: DataFrame, docs: DataFrame, terms: DataFrame, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """``(qid, term, w)``, the questions' weighted terms, staged; and ``(term, id, x)``, the saturated tf of the postings they need."""
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     q = queries.select("qid", F.explode(index_tokens("question")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = small(q.join(terms, "term").select("qid", "term", (F.col("qtf") * idf).alias("w")), 1_000_000)
+    asked = staged(q.join(terms, "term").select("qid", "term", (F.col("qtf") * idf).alias("w")))
     weight = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    hits = post.join(small(q.select("term").distinct(), 1_000_000), "term", "left_semi").repartition("id").join(docs, "id").select("term", "id", weight.alias("x"))
-    out = asked.join(hits, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("x")), places).alias("score"))
+    hits = post.join(small(asked.select("term").distinct()), "term", "left_semi").join(docs, "id")
+    return asked, hits.select("term", "id", weight.alias("x"))
+
+
+def bm25_scores(queries: DataFrame, post: DataFrame, docs: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75, keep_zero: bool = False, places: int = 6) -> DataFrame:
+    """``(qid, id, score)`` of ``queries(qid, question)``: the sum over a question's tokens, repeats included, of idf times saturated tf.
+
+    ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; a tf of ``tf`` counts ``tf / (tf + k1 (1 - b + b dl / avgdl))``.
+    Every document that shares a term is scored: for all scores, not for the best, which are
+    :func:`bm25_search`'s. Documents that share no term don't come out; those whose sum isn't
+    positive only with ``keep_zero``.
+    """
+    asked, hits = _impacts(queries, post, docs, terms, k1, b)
+    out = small(asked).join(hits.repartition("id"), "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("x")), places).alias("score"))
     return out if keep_zero else out.filter("score > 0")
 
 
+def _best_of_block(terms: np.ndarray, rows: np.ndarray, x: np.ndarray, asked: list[tuple[np.ndarray, np.ndarray]], n: int, k: int, places: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (ascending) and scores, for each question of ``asked(terms, weights)``, of a block's ``k`` best rows and all that tie with the last.
+
+    Max-score: a question's terms go by the most that each can add. Once the terms not yet added up
+    can't lift a row over the ``k``-th best so far, only rows already met are completed.
+    """
+    order = np.lexsort((rows, terms))
+    terms, rows, x = terms[order], rows[order], x[order]
+    begin = np.flatnonzero(np.diff(terms, prepend=-1))
+    end = np.append(begin[1:], len(terms))
+    top = np.maximum.reduceat(x, begin) if len(x) else x
+    there = terms[begin]
+    acc = np.zeros(n)
+    out = []
+    for ts, ws in asked:
+        at = np.searchsorted(there, ts)
+        known = at < len(there)
+        known[known] = there[at[known]] == ts[known]
+        at, ws = at[known], ws[known]
+        most = ws * top[at]
+        by = np.argsort(-most, kind="stable")
+        at, ws, most = at[by], ws[by], most[by]
+        rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)
+        met, closed = [], False
+        for i in range(len(at)):
+            a, e = begin[at[i]], end[at[i]]
+            if closed:
+                j = np.searchsorted(rows[a:e], cand)
+                j[j == e - a] = 0
+                same = rows[a:e][j] == cand
+                acc[cand[same]] += ws[i] * x[a:e][j[same]]
+                continue
+            acc[rows[a:e]] += ws[i] * x[a:e]
+            met.append(rows[a:e])
+            if i + 1 < len(at):
+                if len(met) > 1:
+                    met = [np.union1d(*met)] if len(met) == 2 else met
+                got = acc[met[0]]
+                if len(got) >= k and (edge := -np.partition(-got, k - 1)[k - 1]) > rest[i + 1] + 10.0**-places:
+                    cand, closed = met[0][got + rest[i + 1] >= edge - 10.0**-places], True
+                    acc[met[0][got + rest[i + 1] < edge - 10.0**-places]] = 0.0
+        if not met:
+            out.append((np.zeros(0, np.int64), np.zeros(0)))
+            continue
+        cand = cand if closed else np.unique(np.concatenate(met))
+        score = np.round(acc[cand], places)
+        acc[cand] = 0.0
+        keep = score > 0
+        if keep.sum() > k:
+            keep &= score >= -np.partition(-score, k - 1)[k - 1]
+        out.append((cand[keep], score[keep]))
+    return out
+
+
+def bm25_search(queries: DataFrame, post: DataFrame, docs: DataFrame, terms: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, fill: bool = False, places: int = 6, block: int = 65_536, part: int = 4096) -> DataFrame:
+    """``(qid, id, score, rnk)``: the ``k`` documents of highest :func:`bm25_scores`, ties by id.
+
+    Documents are cut into blocks of about ``block``, questions into parts of about ``part``; each
+    pair is one group's work, in which a document is only scored as far as it can still be among a
+    question's best (:func:`_best_of_block`). With ``fill``, questions that fewer than ``k``
+    documents match are filled up with documents of score 0, by id.
+    """
+    asked, hits = _impacts(queries, post, docs, terms, k1, b)
+    n_docs, n_q = docs.count(), asked.select("qid").distinct().count()
+    slots = asked.sparkSession.sparkContext.defaultParallelism
+    blocks, parts = max(1, -(-n_docs // block), min(slots, n_docs // 2048)), max(1, -(-n_q // part))
+    mod = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(mod("qid", parts).alias("p"), every(blocks).alias("b"), "qid", F.xxhash64("term").alias("term"), "w")
+    right = hits.select(every(parts).alias("p"), mod("id", blocks).alias("b"), F.xxhash64("term").alias("term"), "id", "x")
+    kinds = queries.schema["qid"].dataType.simpleString(), docs.schema["id"].dataType.simpleString()
+
+    def search(q: pa.Table, d: pa.Table) -> pa.Table:
+        qids, ids, scores = [], [], []
+        if q.num_rows and d.num_rows:
+            q = q.sort_by("qid")
+            qid = q.column("qid").combine_chunks().dictionary_encode()
+            qid = qid.combine_chunks() if isinstance(qid, pa.ChunkedArray) else qid
+            code, t, w = qid.indices.to_numpy(), q.column("term").to_numpy(), q.column("w").to_numpy()
+            starts = np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code))
+            names = d.column("id").combine_chunks().dictionary_encode()
+            names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+            # Rows are numbered by id, so that ties go to the least.
+            rank = pa.compute.rank(names.dictionary).to_numpy().astype(np.int64) - 1
+            by_rank = names.dictionary.take(pa.array(np.argsort(rank)))
+            rows = rank[names.indices.to_numpy()]
+            found = _best_of_block(d.column("term").to_numpy(), rows, d.column("x").to_numpy(), [(t[i:j], w[i:j]) for i, j in zip(starts[:-1], starts[1:])], len(rank), k, places)
+            for i, (r, s) in zip(starts[:-1], found):
+                order = np.lexsort((r, -s))[:k]
+                qids.append(np.full(len(order), code[i]))
+                ids.append(r[order])
+                scores.append(s[order])
+            return pa.table({"qid": qid.dictionary.take(pa.array(np.concatenate(qids), pa.int64())), "id": by_rank.take(pa.array(np.concatenate(ids), pa.int64())), "score": pa.array(np.concatenate(scores))})
+        return pa.table({"qid": q.column("qid").slice(0, 0), "id": d.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+
+    found = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInArrow(search, f"qid {kinds[0]}, id {kinds[1]}, score double")
+    if not fill:
+        return best(found, ["qid"], "score", "id", k)
+    found = staged(best(found, ["qid"], "score", "id", k).select("qid", "id", "score"))
+    short = queries.select("qid").distinct().join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").filter(F.coalesce("n", F.lit(0)) < k).select("qid")
+    # Among the 2 k documents of least id, at least k are not found yet.
+    first = docs.select("id").distinct().orderBy("id").limit(2 * k).withColumn("one", F.lit(1))
+    zero = short.withColumn("one", F.lit(1)).join(F.broadcast(first), "one").select("qid", "id").join(found, ["qid", "id"], "left_anti").select("qid", "id", F.lit(0.0).alias("score"))
+    return best(found.unionByName(zero), ["qid"], "score", "id", k)
+
+
 def fuse_ranks(ranks: DataFrame, constant: int = 60) -> DataFrame:
     """``(qid, id, score, dense_rank, sparse_rank, rnk)`` from ``ranks(qid, id, dense_rank, sparse_rank)``: reciprocal rank fusion of the lists there are.
 

@@ -245,8 +245,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     post, docs, _ = retrieval.postings(corpus(spark, d))
     post, docs = staged(post), staged(docs)  # what an index keeps on disk
     terms = post.groupBy("term").agg(F.count("*").alias("df"))
-    scores = retrieval.bm25_scores(questions(spark, d), post, docs, terms)
-    return retrieval.best(scores, ["qid"], "score", "id", 10)
+    return retrieval.bm25_search(questions(spark, d), post, docs, terms, 10)
 
 
 @query(f"WITH {BM25}, {GOLD}, asked AS (SELECT DISTINCT qid FROM qs), {scored_sql('bmtop', '')} SELECT * FROM scored")

@@ -30,19 +30,21 @@ def ranked(lists: DataFrame, dense: bool = True, sparse: bool = True) -> DataFra
     return retrieval.fuse_ranks(lists.select("qid", "id", keep(dense, "dense_rank"), keep(sparse, "sparse_rank")))
 
 
-def candidate_lists(questions: DataFrame, index: Index, qvecs: DataFrame | None, candidates: int = 50) -> DataFrame:
-    """``(qid, id, dense_rank, sparse_rank)`` of both retrievers' top ``candidates``; without ``qvecs(qid, qvec)`` the sparse one alone."""
-    scores = retrieval.bm25_scores(questions, index.postings, index.lengths, index.terms)
-    s = retrieval.best(scores, ["qid"], "score", "id", candidates).select("qid", "id", F.lit(None).cast("int").alias("dense_rank"), F.col("rnk").alias("sparse_rank"))
+def candidate_lists(questions: DataFrame, index: Index, qvecs: DataFrame | None, candidates: int = 50, fill: bool = False) -> DataFrame:
+    """``(qid, id, dense_rank, sparse_rank)`` of both retrievers' top ``candidates``; without ``qvecs(qid, qvec)`` the sparse one alone.
+
+    With ``fill`` the sparse list goes on with documents that match nothing, until it has ``candidates``.
+    """
+    s = retrieval.bm25_search(questions, index.postings, index.lengths, index.terms, candidates, fill=fill).select("qid", "id", F.lit(None).cast("int").alias("dense_rank"), F.col("rnk").alias("sparse_rank"))
     if qvecs is None:
         return s
     d = retrieval.dense_search(qvecs, index.vectors, candidates).select("qid", "id", F.col("rnk").alias("dense_rank"), F.lit(None).cast("int").alias("sparse_rank"))
     return d.unionByName(s)
 
 
-def search(questions: DataFrame, index: Index, qvecs: DataFrame | None = None, k: int = 8, candidates: int = 50, dense: bool = True, sparse: bool = True, logits: DataFrame | None = None) -> DataFrame:
+def search(questions: DataFrame, index: Index, qvecs: DataFrame | None = None, k: int = 8, candidates: int = 50, dense: bool = True, sparse: bool = True, logits: DataFrame | None = None, fill: bool = False) -> DataFrame:
     """Hits of all ``questions(qid, question)`` at once, with their chunks: the fused top ``candidates``, reordered by ``logits(qid, id, logit)`` if given, cut to ``k``."""
-    hits = ranked(candidate_lists(questions, index, qvecs, candidates), dense and qvecs is not None, sparse).filter(F.col("rnk") <= candidates)
+    hits = ranked(candidate_lists(questions, index, qvecs, candidates, fill), dense and qvecs is not None, sparse).filter(F.col("rnk") <= candidates)
     if logits is not None:
         hits = retrieval.rerank(hits, logits, k, candidates).withColumn("score", F.coalesce("logit", "score"))
     return retrieval.hydrate(hits.filter(F.col("rnk") <= k), index.chunks.distinct())

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import threading
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from typing import Any, Protocol
 
 import numpy as np
@@ -15,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Status codes of errors that may pass, besides all from 500 up (fixed values).
+from skerry.functions.text import TRANSIENT_MESSAGE
+
+#: What tells an error that may pass: status codes, besides all from 500 up, and words in its message (fixed values).
 TRANSIENT_STATUS = (408, 429)
-TRANSIENT_TEXT = re.compile(r"\b(408|429|50\d|52\d)\b|timeout|timed out|connection|terminated|temporarily|overload|unavailable", re.I)
+TRANSIENT_TEXT = re.compile(TRANSIENT_MESSAGE)
 RERANK_LIMIT = 1000
 
 
@@ -42,38 +45,43 @@ class Chat(Protocol):
     def chat(self, model: str, messages: list[dict[str, str]]) -> str: ...
 
 
-def may_pass(error: Exception) -> bool:
-    if isinstance(error, ProviderError):
-        return error.transient
-    return isinstance(error, (TimeoutError, ConnectionError)) or bool(TRANSIENT_TEXT.search(str(error)))
+@dataclass(frozen=True)
+class Retries:
+    """When a call is made again: after each of ``pauses``, as long as its error is one of ``kinds``, a provider's transient one, or speaks of something that may pass."""
 
+    pauses: tuple[float, ...] = (0.6, 1.2)
+    kinds: tuple[type[Exception], ...] = (TimeoutError, ConnectionError)
+    sleep: Callable[[float], None] = time.sleep
 
-def with_retry(call: Callable[[], Any], tries: int = 3, delay: float = 0.6, sleep: Callable[[float], None] = time.sleep) -> Any:
-    """``call()``, again after ``delay``, twice ``delay`` and so on if its error may pass; any other error, or the last, is raised."""
-    for left in range(tries - 1, -1, -1):
-        try:
-            return call()
-        except Exception as e:
-            if not left or not may_pass(e):
-                raise
-            sleep(delay * (tries - left))
-    raise ValueError("no tries")
+    def hopeful(self, error: Exception) -> bool:
+        known = getattr(error, "transient", None)
+        return known if known is not None else isinstance(error, self.kinds) or TRANSIENT_TEXT.search(str(error)) is not None
 
+    def run(self, call: Callable[[], Any]) -> Any:
+        for pause in self.pauses:
+            try:
+                return call()
+            except Exception as error:
+                if not self.hopeful(error):
+                    raise
+            self.sleep(pause)
+        return call()
 
-def within(seconds: float, call: Callable[[], Any]) -> Any:
-    """``call()``, or None if it raises or takes longer; what still runs is abandoned on a daemon thread."""
-    got: list[Any] = []
 
-    def run() -> None:
-        try:
-            got.append(call())
-        except Exception:  # noqa: BLE001 - an answer that failed is no answer
-            pass
-
-    thread = threading.Thread(target=run, daemon=True)
-    thread.start()
-    thread.join(seconds)
-    return got[0] if got else None
+def with_retry(call: Callable[[], Any], policy: Retries | None = None) -> Any:
+    """``call()`` under a policy of retries, the usual one if none is given: three tries, 0.6 and 1.2 seconds apart."""
+    return (policy or Retries()).run(call)
+
+
+def within(seconds: float, call: Callable[[], Any]) -> Any:
+    """``call()``, or None if it raises or takes longer; what then still runs is left behind and hinders no end of the process."""
+    pool = ThreadPool(1)
+    try:
+        return pool.apply_async(call).get(seconds)
+    except Exception:  # noqa: BLE001 - an answer that failed or is late is no answer
+        return None
+    finally:
+        pool.close()
 
 
 def first_valid(models: list[str], ask: Callable[[str], Any], valid: Callable[[Any], bool]) -> tuple[Any, str]:

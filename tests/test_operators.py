@@ -59,6 +59,37 @@ def test_dense_search(spark, rows):
     assert retrieval.dense_search(q, vectors(spark, []), 3).count() == 0
 
 
+def test_dense_search_with_empty_blocks(spark, rows):
+    """String ids with a block for each row, so that most blocks meet nothing; queries of another length are left out."""
+    v = spark.createDataFrame([(f"v{i}", [1.0, float(i)]) for i in range(9)], "id string, vec array<double>")
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", None)], "qid string, qvec array<double>")
+    assert rows(retrieval.dense_search(q, v, 2, block=1), "qid", "id") == [("a", "v0"), ("a", "v1")]
+    assert retrieval.dense_search(q.filter("qid = 'b'"), v, 2, block=1).count() == 0
+
+
+@pytest.mark.parametrize("k,block", [(3, 65536), (10, 40), (50, 7)])
+def test_bm25_search_is_the_best_of_all_scores(spark, rows, k, block):
+    import random
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(words[min(59, int(r.paretovariate(0.7)) - 1)] for _ in range(n))
+    docs = spark.createDataFrame([(f"d{i:03}", text(r.randrange(1, 30))) for i in range(300)] + [("e", None), ("f", "")], "id string, text string")
+    q = spark.createDataFrame([(f"q{i}", text(r.randrange(1, 9))) for i in range(40)] + [("none", "zzz"), ("null", None)], "qid string, question string")
+    post, lengths, terms = retrieval.postings(docs)
+    want = retrieval.best(retrieval.bm25_scores(q, post, lengths, terms), ["qid"], "score", "id", k)
+    got = retrieval.bm25_search(q, post, lengths, terms, k, block=block, part=9)
+    assert rows(got, "qid", "id", "score", "rnk") == rows(want, "qid", "id", "score", "rnk")
+
+
+def test_bm25_search_filled_up(spark, rows):
+    docs = spark.createDataFrame([("a", "red"), ("b", "blue"), ("c", "red blue"), ("d", None)], "id string, text string")
+    q = spark.createDataFrame([("x", "red"), ("y", "green")], "qid string, question string")
+    post, lengths, terms = retrieval.postings(docs)
+    got = rows(retrieval.bm25_search(q, post, lengths, terms, 3, fill=True), "qid", "rnk", "id")
+    assert got == [("x", 1, "a"), ("x", 2, "c"), ("x", 3, "b"), ("y", 1, "a"), ("y", 2, "b"), ("y", 3, "c")]
+
+
 def test_dense_search_in_blocks(spark, rows):
     import numpy as np
 

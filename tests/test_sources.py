@@ -84,7 +84,7 @@ def test_retry():
             raise providers.ProviderError("no", 503)
         return "ok"
 
-    assert providers.with_retry(flaky, sleep=slept.append) == "ok" and slept == [0.6, 1.2]
+    assert providers.with_retry(flaky, providers.Retries(sleep=slept.append)) == "ok" and slept == [0.6, 1.2]
     for error in (providers.ProviderError("no", 400), ValueError("bad")):
         calls.clear()
 
@@ -93,11 +93,11 @@ def test_retry():
             raise error
 
         with pytest.raises(type(error)):
-            providers.with_retry(failing, sleep=slept.append)
+            providers.with_retry(failing, providers.Retries(sleep=slept.append))
         assert len(calls) == 1
     calls.clear()
     with pytest.raises(TimeoutError):
-        providers.with_retry(lambda: (calls.append(1), (_ for _ in ()).throw(TimeoutError()))[1], sleep=slept.append)
+        providers.with_retry(lambda: (calls.append(1), (_ for _ in ()).throw(TimeoutError()))[1], providers.Retries(sleep=slept.append))
     assert len(calls) == 3
 
 
