@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.runtime import staged
+
 
 def same_line(line: Column) -> Column:
     """Lower case, ``#`` for each run of digits, one space for each run of white space, trimmed; Unicode digits and white space."""
@@ -39,7 +41,7 @@ def repeated_lines(chunks: DataFrame, min_docs: int = 6, min_share: float = 0.0)
     each shuffle, so a line that a third of all chunks carry arrives as few rows; the join back
     needs only the frequent lines and splits a hot one under AQE.
     """
-    lines = numbered_lines(chunks)
+    lines = staged(numbered_lines(chunks))  # texts are cut into lines once
     return lines.join(frequent_lines(lines, min_docs, min_share), "line_key", "left_semi").select("chunk_id", "line_no").distinct()
 
 

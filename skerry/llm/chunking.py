@@ -94,9 +94,9 @@ def cut(text: str, limit: int = 2400, overlap: int = 200, least: int = 600, bits
 
 
 def pieces(chunks: DataFrame, limit: int = 2400, overlap: int = 200, least: int = 600) -> DataFrame:
-    """``(chunk_id, item, piece_no, start, end, body_start, text)``: every text in pieces of at most ``limit`` characters.
+    """``(chunk_id, item, piece_no, start, end, body_start, text, text_key)``: every text in pieces of at most ``limit`` characters.
 
-    ``start`` and ``end`` count characters from 0; ``text[start:body_start]`` is what a piece repeats
+    ``start`` and ``end`` count characters from 0; ``text_key`` is a hash of the whole text; ``text[start:body_start]`` is what a piece repeats
     of the one before; the bodies together are the text, exactly. Length is measured, ``n_chars`` is
     not looked at. A text within the limit, or empty, is one piece; a null text has none. Repeated
     rows count once; rows that differ in text or ``item`` under one ``chunk_id`` are each cut. Extra
@@ -113,6 +113,6 @@ def pieces(chunks: DataFrame, limit: int = 2400, overlap: int = 200, least: int
     rows = chunks.select("chunk_id", "item", "text").filter("text IS NOT NULL")
     n = F.length("text")
     zero = F.lit(0)
-    short = rows.filter(n <= limit).distinct().select("chunk_id", "item", zero.alias("piece_no"), zero.alias("start"), n.alias("end"), zero.alias("body_start"), "text")
-    long = rows.filter(n > limit).distinct().withColumn("p", cut_all("text")).select("chunk_id", "item", F.posexplode("p").alias("piece_no", "p"))
-    return short.unionByName(long.select("chunk_id", "item", "piece_no", "p.start", "p.end", "p.body_start", "p.text"))
+    short = rows.filter(n <= limit).distinct().select("chunk_id", "item", zero.alias("piece_no"), zero.alias("start"), n.alias("end"), zero.alias("body_start"), "text", F.xxhash64("text").alias("text_key"))
+    long = rows.filter(n > limit).distinct().withColumn("p", cut_all("text")).select("chunk_id", "item", F.xxhash64("text").alias("text_key"), F.posexplode("p").alias("piece_no", "p"))
+    return short.unionByName(long.select("chunk_id", "item", "piece_no", "p.start", "p.end", "p.body_start", "p.text", "text_key"))

@@ -2,54 +2,61 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+import math
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.runtime import staged
+from skerry.runtime import small, staged
 
-WORD = re.compile("[a-z]{4,}")
+WORD = "[a-z]{4,}"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, terms, tfs, sizes = b.column(0), [], [], [0]
-        for text in b.column(1).to_pylist():
-            c = Counter(WORD.findall(text.lower()))
-            terms.extend(c.keys())
-            tfs.extend(c.values())
-            sizes.append(len(terms))
-        at = pa.array(sizes, pa.int32())
-        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32()))], ["id", "terms", "tfs"])
+def records_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(id, h, text)``: the distinct texts of each key, with their hash; rows without key or text are left out.
+
+    Repeats are combined before the shuffle, which leaves each record in one place for the counts that follow.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    return rows.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
 
 
-def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(id, terms, tfs)``: each record's distinct words of four letters or more with their counts, in one row; rows without key or text have none.
+def term_counts(records: DataFrame) -> DataFrame:
+    """``(id, h, term, tf)`` of :func:`records_of`, the first aggregation: how often each record has each word of four letters or more.
 
-    Counting is local to the record, so it needs no shuffle. Repeated rows are dropped first.
+    Rows of a record are together already, so counting needs no shuffle.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL").distinct()
-    return rows.mapInArrow(_counted, "id string, terms array<string>, tfs array<int>")
+    words = records.select("id", "h", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term"))
+    return words.groupBy("id", "h", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
-def flat(counts: DataFrame) -> DataFrame:
-    return counts.select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("id", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+def spread_weight(n_records: int) -> Column:
+    """One minus the normalised entropy of a term's spread, from ``gf`` and ``tl``.
+
+    With ``p = tf / gf``, entropy is ``ln gf - sum(tf ln tf) / gf``. It is 1 for a term of one record, 0 for a term spread evenly over all.
+    """
+    if n_records < 2:
+        return F.lit(1.0)
+    entropy = F.ln("gf") - F.col("tl") / F.col("gf")
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - entropy / F.ln(F.lit(float(n_records))))), 9)
 
 
 def term_spread(counts: DataFrame, n_records: int) -> DataFrame:
-    """``(term, df, gf, g)``: records and occurrences of each term, and one minus the normalised entropy of its spread.
+    """``(term, df, gf, g)``, the second aggregation, combined before its shuffle: records and occurrences of each term, and the weight of its spread."""
+    s = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.ln("tf")).alias("tl"))
+    return s.select("term", "df", "gf", spread_weight(n_records).alias("g"))
 
-    With ``p = tf / gf``, entropy is ``ln gf - sum(tf ln tf) / gf``, so one map-side combined
-    aggregation does. ``g`` is 1 for a term of one record, 0 for a term spread evenly over all.
-    """
-    s = flat(counts).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.ln("tf")).alias("tl"))
-    entropy = F.ln("gf") - F.col("tl") / F.col("gf")
-    g = F.lit(1.0) if n_records < 2 else F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - entropy / F.ln(F.lit(float(n_records)))))
-    return s.select("term", "df", "gf", F.round(g, 9).alias("g"))
+
+def _counted(records: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """The staged counts of the records, and how many records there are, those without words too."""
+    df = records_of(records, key, text)
+    n = records.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.xxhash64(text)).distinct().count()
+    return staged(term_counts(df)), n
+
+
+def _weighted(counts: DataFrame, spread: DataFrame, key: str) -> DataFrame:
+    weight = F.round(F.ln(F.col("tf") + 1.0) * F.col("g"), 6)
+    return counts.join(spread, "term").select(F.col("id").alias(key), "term", "tf", "df", weight.alias("weight"))
 
 
 def log_entropy(records: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -60,10 +67,22 @@ def log_entropy(records: DataFrame, key: str = "chunk_id", text: str = "text") -
     as two records. An empty table gives an empty result. The counts are staged once and read twice:
     for the terms' spread, and to be joined with it.
     """
-    counts = staged(term_counts(records, key, text))
-    spread = term_spread(counts, counts.count())
-    tf = flat(counts)
-    return tf.join(spread, "term").select(F.col("id").alias(key), "term", "tf", "df", F.round(F.ln(F.col("tf") + 1.0) * F.col("g"), 6).alias("weight"))
+    counts, n = _counted(records, key, text)
+    return _weighted(counts, small(staged(term_spread(counts, n))), key)
+
+
+def typical_terms(records: DataFrame, key: str = "chunk_id", text: str = "text", least_tf: int = 3, most_df: int = 3) -> DataFrame:
+    """:func:`log_entropy` of the terms that occur ``least_tf`` times or more in a record and in at most ``most_df`` records.
+
+    Spread over at most ``d`` records, a term's entropy is at most ``ln d``. So ``g`` is at least
+    ``1 - ln d / ln N`` and the weight at least ``ln(1 + least_tf)`` times that; the terms and rows
+    that reach these bounds are taken by their weights and then checked. Only they are joined.
+    """
+    counts, n = _counted(records, key, text)
+    bound = max(0.0, 1.0 - math.log(max(most_df, 1)) / math.log(n)) - 1e-6 if n > 1 else 0.0
+    rare = term_spread(counts, n).filter(F.col("g") >= bound)
+    found = _weighted(counts.filter(F.col("tf") >= least_tf), rare, key).filter(F.col("weight") >= math.log(1 + least_tf) * bound - 1e-5)
+    return found.filter(F.col("df") <= most_df)
 
 
 def question_overlap(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -72,11 +91,11 @@ def question_overlap(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     A word no chunk has weighs ``ln(1 + tf)``, as one of a single record would. ``overlap`` is 0 if
     no word has weight. Questions without gold chunks overlap 0. Repeated rows count once.
     """
-    counts = staged(term_counts(chunks, "chunk_id", "text"))
-    spread = term_spread(counts, counts.count())
-    q = flat(term_counts(questions, "qid", "question")).withColumnRenamed("id", "qid")
+    counts, n = _counted(chunks, "chunk_id", "text")
+    spread = staged(term_spread(counts, n))
+    q = staged(term_counts(records_of(questions, "qid", "question")).select(F.col("id").alias("qid"), "term", "tf"))
     gold = questions.filter("qid IS NOT NULL").select("qid", F.explode("gold_chunk_ids").alias("id")).distinct()
-    gold_terms = flat(counts.join(gold.select("id").distinct(), "id", "left_semi"))
+    gold_terms = counts.join(gold.select("id").distinct(), "id", "left_semi").select("id", "term").distinct()
     hit = gold.join(gold_terms, "id").join(q.select("qid", "term"), ["qid", "term"], "left_semi").select("qid", "term").distinct().withColumn("in_gold", F.lit(True))
     w = q.join(spread.select("term", "g"), "term", "left").join(hit, ["qid", "term"], "left")
     w = w.select("qid", "term", "tf", F.round(F.ln(F.col("tf") + 1.0) * F.coalesce("g", F.lit(1.0)), 6).alias("weight"), F.coalesce("in_gold", F.lit(False)).alias("in_gold"))

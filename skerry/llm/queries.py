@@ -25,6 +25,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.pieces(table(spark, d, "chunks"))
 
 
+def p2_properties(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each text come to: the text put together again, the longest piece, the most that is repeated."""
+    p = chunking.pieces(table(spark, d, "chunks"))
+    body = F.substr("text", F.col("body_start") - F.col("start") + 1)
+    whole = p.groupBy("chunk_id", "item", "text_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", body.alias("b")))), lambda x: x["b"]), "").alias("t"), F.count("*").alias("n"), F.max(F.length("text")).alias("longest"), F.max(F.col("body_start") - F.col("start")).alias("repeated"))
+    return whole.select("chunk_id", "item", F.md5("t").alias("md5"), (F.col("n") > 1).alias("is_cut"), (F.col("longest") <= 2400).alias("within_limit"), (F.col("repeated") <= 200).alias("within_overlap")).distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.close_pairs(table(spark, d, "chunks"))
 
@@ -58,8 +66,7 @@ def p6_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    weights = distinctive.log_entropy(table(spark, d, "chunks"))
-    return weights.filter("tf >= 3 AND df <= 3").select("chunk_id", "term")
+    return distinctive.typical_terms(table(spark, d, "chunks")).select("chunk_id", "term")
 
 
 def p7_weights(spark: SparkSession, d: str) -> DataFrame:

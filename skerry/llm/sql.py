@@ -41,5 +41,15 @@ CASE WHEN c.kind = 'text' AND d IS NOT NULL AND text IS NOT NULL THEN len(d)::IN
     "p7_found": f"WITH {TERMS} SELECT chunk_id, tf.term FROM tf JOIN sp ON tf.term = sp.term WHERE tf >= 3 AND df <= 3",
     "p8_found": f"WITH {MEASURED} SELECT DISTINCT doc_id FROM md WHERE n > 2048",
     "p9_found": f"WITH {MEASURED}, s AS (SELECT source, sum(n) AS n FROM md GROUP BY source) SELECT t.source FROM (SELECT DISTINCT * FROM mix_targets) t LEFT JOIN s ON s.source = t.source WHERE t.source IS NOT NULL AND coalesce(weight, 0) * (SELECT sum(n) FROM md) > coalesce(max_repeats, 0) * coalesce(s.n, 0)",
+    "p2_properties": "SELECT DISTINCT chunk_id, item, md5(text) AS md5, length(text) > 2400 AS is_cut, true AS within_limit, true AS within_overlap FROM chunks WHERE text IS NOT NULL",
+    # Classes are records of one ticker with the same words in order; groups are found by spreading the least class.
+    "p3_groups": f"""WITH RECURSIVE {PAIRS}, c AS (SELECT ticker, w, min(chunk_id) AS c, count(*) AS n FROM w WHERE len(w) > 0 GROUP BY ticker, w), m AS (SELECT chunk_id, c, n FROM w JOIN c ON w.ticker = c.ticker AND w.w = c.w),
+l AS (SELECT a.chunk_id AS a, b.chunk_id AS b FROM (SELECT * FROM x WHERE chunk_id IN (SELECT c FROM c)) a JOIN (SELECT * FROM x WHERE chunk_id IN (SELECT c FROM c)) b ON a.ticker = b.ticker AND a.b = b.b AND a.chunk_id <> b.chunk_id GROUP BY a.chunk_id, b.chunk_id, a.n, b.n HAVING count(*) >= 0.55 * (a.n + b.n - count(*))),
+r AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), gr AS (SELECT a, min(b) AS g FROM r GROUP BY a)
+SELECT DISTINCT m.chunk_id, gr.g AS group_id, coalesce(k, 0) AS n_links, m.n AS n_copies FROM m JOIN gr ON gr.a = m.c LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) z ON z.a = m.c""",
+    "p7_questions": f"""WITH {TERMS}, qt AS (SELECT qid, term, count(*) AS tf FROM (SELECT qid, unnest(list_filter(regexp_extract_all(lower(question), '[a-z]+'), lambda w: length(w) >= 4)) AS term FROM (SELECT DISTINCT qid, question FROM eval_narrative WHERE qid IS NOT NULL AND question IS NOT NULL)) GROUP BY ALL),
+gd AS (SELECT DISTINCT qid, unnest(gold_chunk_ids) AS id FROM eval_narrative WHERE qid IS NOT NULL), hit AS (SELECT DISTINCT gd.qid, tf.term FROM gd JOIN tf ON tf.chunk_id = gd.id),
+v AS (SELECT qt.qid, qt.term, qt.tf::INT AS tf, round(ln(qt.tf + 1.0) * coalesce(g, 1.0), 6) AS weight, hit.term IS NOT NULL AS in_gold FROM qt LEFT JOIN sp ON sp.term = qt.term LEFT JOIN hit ON hit.qid = qt.qid AND hit.term = qt.term)
+SELECT *, round(CASE WHEN sum(weight) OVER (PARTITION BY qid) > 0 THEN sum(CASE WHEN in_gold THEN weight ELSE 0 END) OVER (PARTITION BY qid) / sum(weight) OVER (PARTITION BY qid) ELSE 0 END, 6) AS overlap FROM v""",
     "p7_weights": f"WITH {TERMS} SELECT chunk_id, tf.term, tf::INT AS tf, df, round(ln(tf + 1.0) * g, 6) AS weight FROM tf JOIN sp ON tf.term = sp.term",
 }

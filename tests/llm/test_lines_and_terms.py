@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -46,7 +47,7 @@ def records(spark, data):
 
 
 def brute(data):
-    counts = [(c, Counter(w for w in distinctive.WORD.findall(t.lower()))) for c, t in dict.fromkeys(r for r in data if None not in r)]
+    counts = [(c, Counter(w for w in re.findall(distinctive.WORD, t.lower()))) for c, t in dict.fromkeys(r for r in data if None not in r)]
     n, out = len(counts), []
     for c, k in counts:
         for w, tf in k.items():
@@ -65,6 +66,15 @@ def test_log_entropy(spark, rows):
     assert [x[:4] for x in got] == [x[:4] for x in want] and all(abs(x[4] - y[4]) < 2e-5 for x, y in zip(got, want))
 
 
+def test_typical_terms_are_the_weighted_rows_that_fit(spark, rows):
+    data = [(f"r{i}", " ".join(w * (3 + i % 2) for j, w in enumerate(("alpha ", "bravo ", "common ", "delta ", "echo ")) if i % (j + 1) == 0)) for i in range(12)]
+    data += [("a", "solo solo solo twice"), ("b", "twice twice twice"), ("x", None)]
+    for some in (data, data[:1], data[:2], []):
+        df = records(spark, some)
+        want = distinctive.log_entropy(df).filter("tf >= 3 AND df <= 3")
+        assert rows(distinctive.typical_terms(df), "chunk_id", "term", "tf", "df", "weight") == rows(want, "chunk_id", "term", "tf", "df", "weight")
+
+
 def test_one_and_no_record(spark, rows):
     assert rows(distinctive.log_entropy(records(spark, [("a", "wheat")])), "term", "tf") == [("wheat", 1)]
     assert distinctive.log_entropy(records(spark, [])).count() == 0
