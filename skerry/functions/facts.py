@@ -40,8 +40,9 @@ def value_formats(value: Column | str) -> Column:
     for scale in (1.0, 1e3, 1e6):
         v = value / F.lit(scale)
         n = F.rint(v)
-        whole = (F.abs(v) >= 1) & (F.abs(v - n) < 1e-9) & (F.abs(v) < 9e18)
-        n = n.cast("decimal(20,0)")
+        whole = (F.abs(v) >= 1) & (F.abs(v - n) < 1e-9) & (F.abs(v) < 9e21)
+        # From 2**63 up a double is a multiple of 2**11, so neither way loses a digit.
+        n = F.when(F.abs(n) < 9e18, n.cast("bigint").cast("decimal(38,0)")).otherwise((n / 2048.0).try_cast("bigint").cast("decimal(20,0)") * F.lit(2048).cast("decimal(4,0)")).cast("decimal(38,0)")
         out.append(F.when(whole, F.format_number(n, 0)))
         out.append(F.when(whole & (F.abs(n) >= 1000), n.cast("string")))
     out.append(F.when(F.abs(value) < 1000, F.format_number(F.bround(value.cast("decimal(38,17)"), 2), 2)))

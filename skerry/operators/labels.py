@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from skerry.functions.facts import value_formats
 from skerry.functions.text import ngrams, overlap_tokens, share_of, tokens
+from skerry.runtime import staged
 
 #: Characters that formatted values are made of, in runs.
 NUMBER_RUN = "[0-9.,-]{3,}"
-LONGEST = 26  # characters of the longest format
+LONGEST = 30  # characters of the longest format
 
 
 def number_parts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -90,20 +91,22 @@ def lexical_overlap(pairs: DataFrame) -> DataFrame:
     return size.join(hit, "qid", "left").select("qid", F.round(share_of(F.coalesce("hit", F.lit(0)).cast("double"), F.col("size")), 6).alias("overlap"))
 
 
-def similar_sets(records: DataFrame, least: float = 0.55) -> DataFrame:
-    """``(group, a, b, similarity)``, ``a < b``: records of one group whose sets of words have a Jaccard similarity of at least ``least``, exactly.
+def similar_sets(records: DataFrame, least: float = 0.55) -> tuple[DataFrame, DataFrame]:
+    """``(group, a, b, similarity)``, ``a < b``, and ``(group, id, cls)``: which classes of records of one group are similar, exactly, and the class of every record.
 
-    ``records(id, group, text)``. Records with the same set stand for one another: the least id is
-    compared, and each other one is paired with it. Words are ordered from rare to common; two sets
+    ``records(id, group, text)``. Records of a group with the same set of words are one class, named by its
+    least id; two records are similar if they are of one class or of two classes linked. A link means a
+    Jaccard similarity of the sets of at least ``least``. Words are ordered from rare to common; two sets
     that similar share one of the first ``n - ceil(least n) + 1`` words of each, so only these meet.
     Sets whose sizes differ too much are not compared. Candidates are verified on the whole sets.
+
+    Null ids, groups and texts and texts without words are in no class. Repeated rows count once.
     """
     r = records.filter("id IS NOT NULL AND group IS NOT NULL").select("id", "group", F.array_sort(F.array_distinct(tokens("text"))).alias("set")).filter(F.size("set") > 0)
-    r = r.withColumn("same", F.xxhash64("group", "set"))
-    one = r.groupBy("group", "same", "set").agg(F.min("id").alias("id"))
+    one = staged(r.groupBy("group", "set").agg(F.min("id").alias("id")))
     df = one.select(F.explode("set").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     words = one.select("group", "id", F.size("set").alias("n"), F.explode("set").alias("term")).join(df, "term")
-    at = F.row_number().over(Window.partitionBy("group", "id").orderBy("df", "term"))
+    at = F.row_number().over(Window.partitionBy("group", "id", "n").orderBy("df", "term"))
     words = words.withColumn("at", at).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
     a, b = words.select("group", "term", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia")), words.select("group", "term", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     # What both can still share after this word bounds their similarity.
@@ -111,9 +114,25 @@ def similar_sets(records: DataFrame, least: float = 0.55) -> DataFrame:
     pairs = a.join(b, ["group", "term"]).filter((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
     pairs = pairs.groupBy("group", "a", "b").agg(F.count("*").alias("k"), F.min(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))).alias("rest"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     pairs = pairs.filter(F.col("k") + F.col("rest") >= bound - 1e-9).select("group", "a", "b")
-    sets = one.select("group", "id", "set")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), ["group", "a"]).join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), ["group", "b"])
+    both = pairs.join(one.withColumnsRenamed({"id": "a", "set": "sa"}), ["group", "a"]).join(one.withColumnsRenamed({"id": "b", "set": "sb"}), ["group", "b"])
     k = F.size(F.array_intersect("sa", "sb"))
-    far = both.withColumn("similarity", F.round(k / (F.size("sa") + F.size("sb") - k), 6)).filter(F.col("similarity") >= least).select("group", "a", "b", "similarity")
-    copies = r.join(one.select("group", "same", F.col("id").alias("a")), ["group", "same"]).filter("a < id").select("group", "a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    return far.unionByName(copies.distinct())
+    links = both.withColumn("similarity", F.round(k / (F.size("sa") + F.size("sb") - k), 6)).filter(F.col("similarity") >= least).select("group", "a", "b", "similarity")
+    members = r.join(one.withColumnRenamed("id", "cls"), ["group", "set"]).select("group", "id", "cls").distinct()
+    return links, members
+
+
+def near_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``(group, id, cls, n_near)`` of :func:`similar_sets`: each record with its class and the number of other records similar to it."""
+    size = members.groupBy("group", "cls").agg(F.count("*").alias("n"))
+    ends = links.select("group", F.col("a").alias("cls"), F.col("b").alias("to")).union(links.select("group", "b", "a"))
+    far = ends.join(size.select("group", F.col("cls").alias("to"), "n"), ["group", "to"]).groupBy("group", "cls").agg(F.sum("n").alias("far"))
+    classes = size.join(far, ["group", "cls"], "left").select("group", "cls", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_near"))
+    return members.join(classes, ["group", "cls"]).select("group", "id", "cls", "n_near")
+
+
+def near_records(wanted: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
+    """``(id, other)``: all records similar to those of ``wanted(id)``, of their own class and of linked ones. For few wanted records; it grows with their classes."""
+    ends = links.select("group", F.col("a").alias("cls"), F.col("b").alias("to")).union(links.select("group", "b", "a"))
+    mine = wanted.select("id").distinct().join(members, "id")
+    to = mine.select("id", "group", F.col("cls").alias("to")).union(mine.join(ends, ["group", "cls"]).select("id", "group", "to")).distinct()
+    return to.join(members.select("group", F.col("cls").alias("to"), F.col("id").alias("other")), ["group", "to"]).filter("other <> id").select("id", "other").distinct()

@@ -412,7 +412,7 @@ def first_wins_dedup(spark: SparkSession, d: str) -> DataFrame:
 def _variants(v: str) -> str:
     def at(scale: int) -> str:
         x = f"({v} / {scale}.0::DOUBLE)"
-        whole = f"abs({x}) >= 1 AND abs({x} - round_even({x}, 0)) < 1e-9 AND abs({x}) < 9e18"
+        whole = f"abs({x}) >= 1 AND abs({x} - round_even({x}, 0)) < 1e-9 AND abs({x}) < 9e21"
         n = f"round_even({x}, 0)::HUGEINT"
         return f"CASE WHEN {whole} THEN format('{{:,}}', {n}) END, CASE WHEN {whole} AND abs({n}) >= 1000 THEN {n}::VARCHAR END"
 
@@ -509,10 +509,21 @@ SETS = f"""{CH}, s AS (SELECT DISTINCT chunk_id AS id, ticker AS g, list_sort(li
 one AS (SELECT g, w, min(id) AS id FROM s1 GROUP BY g, w), t AS (SELECT g, id, len(w) AS n, unnest(w) AS x FROM one)"""
 
 
-@query(f"""WITH {SETS} SELECT * FROM (SELECT a.g AS "group", a.id AS a, b.id AS b, round(count(*)::DOUBLE / (a.n + b.n - count(*)), 6) AS similarity FROM t a JOIN t b ON a.g = b.g AND a.x = b.x AND a.id < b.id GROUP BY a.g, a.id, b.id, a.n, b.n) WHERE similarity >= 0.55
-UNION ALL SELECT one.g, one.id, s1.id, 1.0 FROM one JOIN s1 ON one.g = s1.g AND one.w = s1.w AND one.id < s1.id""")
+# All records meet all others of their ticker: what is near is counted on the records themselves.
+SIMILAR = "near AS (SELECT a.g, a.id AS a, b.id AS b FROM y a JOIN y b ON a.g = b.g AND a.x = b.x AND a.id <> b.id GROUP BY a.g, a.id, b.id, a.n, b.n HAVING count(*) >= 0.55 * (a.n + b.n - count(*)))"
+
+
+@query(f"""WITH {SETS}, y AS (SELECT g, id, len(w) AS n, unnest(w) AS x FROM s1), {SIMILAR}
+SELECT s1.g AS "group", s1.id, one.id AS cls, coalesce(k, 0) AS n_near FROM s1 JOIN one ON one.g = s1.g AND one.w = s1.w LEFT JOIN (SELECT g, a, count(*) AS k FROM near GROUP BY g, a) z ON z.g = s1.g AND z.a = s1.id""")
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return labels.similar_sets(chunks(spark, d, "chunk_id", "ticker", "text").toDF("id", "group", "text"))
+    """One row a chunk: its class of chunks with the same words, and how many others of its ticker are near it."""
+    return labels.near_counts(*map(staged, labels.similar_sets(chunks(spark, d, "chunk_id", "ticker", "text").toDF("id", "group", "text"))))
+
+
+@query(f"""WITH {SETS} SELECT * FROM (SELECT a.g AS "group", a.id AS a, b.id AS b, round(count(*)::DOUBLE / (a.n + b.n - count(*)), 6) AS similarity FROM t a JOIN t b ON a.g = b.g AND a.x = b.x AND a.id < b.id GROUP BY a.g, a.id, b.id, a.n, b.n) WHERE similarity >= 0.55""")
+def near_duplicate_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links between classes."""
+    return labels.similar_sets(chunks(spark, d, "chunk_id", "ticker", "text").toDF("id", "group", "text"))[0]
 
 
 # ---- documents
@@ -558,10 +569,10 @@ def html_table_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filing_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Each filing's chunks as one page, an item heading before each."""
+    """Each filing's chunks as one page, an item heading at the head of each."""
     c = table(spark, d, "chunks").select("doc_id", "chunk_id", "ticker", "company", "form", "report_date", "accession", "item", "item_title").distinct().join(pages(spark, d), "chunk_id")
     head = F.when(F.col("item").isNotNull(), F.concat(F.lit("<h2>Item "), "item", F.lit(". "), F.coalesce("item_title", F.lit("")), F.lit("</h2>"))).otherwise("")
-    c = c.withColumn("part", F.struct("chunk_id", F.concat(head, "html").alias("h")))
+    c = c.withColumn("part", F.struct("chunk_id", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), head)).alias("h")))
     keys = ["doc_id", "ticker", "company", "form", "report_date", "accession"]
     g = c.groupBy(*keys).agg(F.sort_array(F.collect_list("part")).alias("p"))
     return g.select(F.col("doc_id").alias("slug"), *keys[1:], F.concat(F.lit("https://filings.example/"), "accession").alias("url"), F.array_join("p.h", "\n").alias("html"))
@@ -584,7 +595,9 @@ def item_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk_id", F.col("heading.item").alias("item"), F.col("heading.title").alias("item_title"))
 
 
-@query()
+@query(f"""WITH ln AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split_regex(text, '{BREAK}') AS l FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL))),
+w AS (SELECT doc_id, list_filter(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN length(acc[-1]) + length(x[1]) + 2 <= 2400 THEN list_append(acc[:-2], acc[-1] || chr(10) || x[1]) ELSE list_append(acc, CASE WHEN acc[-1] = '' THEN x[1] ELSE right(acc[-1], 200) || chr(10) || x[1] END) END), lambda v: trim(regexp_replace(v, '{SPACE}', '', 'g')) <> '') AS w FROM ln WHERE len(l) > 0)
+SELECT doc_id, (i - 1)::INT AS window_no, length(w[i])::INT AS n_chars, md5(w[i]) AS md5 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)""")
 def pack_windows(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text").distinct()
     w = docs.select("doc_id", F.posexplode(chunking.packed(text.lines("text"))).alias("window_no", "window"))
@@ -608,24 +621,35 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return top.select("qid", "id", "rnk", "first_rnk", "dense_rank", "sparse_rank", F.round("logit", 6).alias("logit"))
 
 
-@query()
+ITEMS = ["1", "1A", "1C", "3", "7", "7A"]
+
+
+@query(f"""WITH {QS}, {CH}, {IDF}, p AS (SELECT * FROM ch WHERE item IN ({", ".join(f"'{i}'" for i in ITEMS)}) AND kind = 'text' AND length(text) >= 900),
+an AS (SELECT gold_chunk_ids[1] AS id, min(question) AS question FROM qs GROUP BY 1), j AS (SELECT p.*, trim(question) AS question FROM p JOIN an ON an.id = p.chunk_id WHERE trim(question) <> ''),
+tk AS (SELECT DISTINCT chunk_id, {TOKENS.format('question')} AS q, {TOKENS.format('text')} AS g FROM j), tt AS (SELECT chunk_id, g, unnest(list_distinct(q)) AS term FROM tk),
+ov AS (SELECT tk.chunk_id, q, g, round(coalesce(CASE WHEN a > 0 THEN b / a ELSE 0 END, 0), 6) AS overlap FROM tk LEFT JOIN (SELECT chunk_id, sum(coalesce(idf, 0)) AS a, sum(CASE WHEN list_contains(g, tt.term) THEN coalesce(idf, 0) ELSE 0 END) AS b FROM tt LEFT JOIN idf ON tt.term = idf.term GROUP BY chunk_id) x ON x.chunk_id = tk.chunk_id),
+kept AS (SELECT j.*, overlap FROM j JOIN ov ON j.chunk_id = ov.chunk_id WHERE len(q) >= 4 AND NOT list_has_any({GRAMS.format('q')}, {GRAMS.format('g')}) AND overlap <= 0.725 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY md5('0|' || j.chunk_id), j.chunk_id) <= 5),
+s AS (SELECT DISTINCT chunk_id AS id, ticker AS g, list_distinct({TOKENS.format('text')}) AS w FROM p WHERE ticker IS NOT NULL), y AS (SELECT g, id, len(w) AS n, unnest(w) AS x FROM s), {SIMILAR}
+SELECT chunk_id || '-narr' AS qid, question, 'topic' AS topic, ticker, item, left(report_date, 4) AS fiscal_year, concat_ws(' ', chunk_id, (SELECT string_agg(b, ' ' ORDER BY b) FROM near WHERE a = chunk_id)) AS gold_chunk_ids, overlap AS idf_overlap, 'narrative' AS split, 'written, screened' AS source FROM kept""")
 def narrative_eval_set(spark: SparkSession, d: str) -> DataFrame:
     """Questions about passages, screened, with near duplicates as further gold; the questions there are stand in for a model's answers."""
     c = chunks(spark, d)
-    p = eval_sets.narrative_passages(c, ["1", "1A", "1C", "3", "7", "7A"])
+    p = eval_sets.narrative_passages(c, ITEMS)
     q = questions(spark, d).select(F.get("gold_chunk_ids", F.lit(0)).alias("id"), "question").groupBy("id").agg(F.min("question").alias("question"))
     answers = q.select("id", F.concat(F.lit("Here: "), F.to_json(F.struct("question", F.lit("topic").alias("topic")))).alias("answer"))
-    near = labels.similar_sets(p.select("chunk_id", "ticker", "text").toDF("id", "group", "text"))
-    out, _ = eval_sets.narrative_questions(p, answers, c.select(F.col("chunk_id").alias("id"), "text").distinct(), near)
+    links, members = map(staged, labels.similar_sets(p.select("chunk_id", "ticker", "text").toDF("id", "group", "text")))
+    out, _ = eval_sets.narrative_questions(p, answers, c.select(F.col("chunk_id").alias("id"), "text").distinct(), links, members)
     return out.withColumn("gold_chunk_ids", F.array_join("gold_chunk_ids", " "))
 
 
-@query()
+@query(f"""WITH {ABLATION} SELECT (SELECT count(DISTINCT qid) FROM qs) AS n_questions, (SELECT count(DISTINCT chunk_id) FROM chunks) AS n_chunks, config, coalesce(split, 'all') AS split, count(*) AS n, {MEANS} FROM final GROUP BY GROUPING SETS ((config, split), (config))""")
 def ablation_result(spark: SparkSession, d: str) -> DataFrame:
-    """The ablation as one line of JSON, with where it comes from."""
+    """The ablation as one line of JSON, with where it comes from, and read back from that."""
     n = chunks(spark, d, "chunk_id").count()
     r = plans.ablation_result(staged(_ablation(spark, d)), questions(spark, d), ["eval_narrative"], n, "hits")
-    return r.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("result"))
+    line = r.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("result"))
+    back = line.select(F.from_json("result", r.schema).alias("r")).select("r.n_questions", "r.n_chunks", F.explode("r.results").alias("x"))
+    return back.select("n_questions", "n_chunks", "x.config", "x.split", "x.n", *(f"x.{m}" for m in metrics.METRICS))
 
 
 # ---- models' answers and prompts

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from skerry.functions.chat import template
 from skerry.functions.facts import fiscal_year, is_annual
 from skerry.functions.jsonx import extract_json
-from skerry.functions.text import tokens
 from skerry.operators import labels, sampling
+from skerry.runtime import staged
 
 QUESTION = "What was {ticker}'s {label} in fiscal {year}?"
 WRITER = """Write one question that an analyst could ask about {ticker} and that the passage below answers.
@@ -72,27 +72,28 @@ def grader_prompts(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("qid").alias("id"), template(GRADER, question="question", passage_a=cut("text_a"), passage_b=cut("text_b")).alias("prompt"))
 
 
-def narrative_questions(passages: DataFrame, answers: DataFrame, corpus: DataFrame, near: DataFrame, per_ticker: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def to_ask(passages: DataFrame, per_ticker: int = 5, oversample: int = 2, seed: int = 0) -> DataFrame:
+    """The passages that a model is asked about: in seeded order, ``oversample`` times as many as a ticker's quota, so that refused ones can be made up for."""
+    return sampling.quota(passages, "ticker", per_ticker * oversample, [sampling.seeded(seed, "chunk_id"), "chunk_id"]).drop("place")
+
+
+def narrative_questions(passages: DataFrame, answers: DataFrame, corpus: DataFrame, links: DataFrame, members: DataFrame, per_ticker: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Accepted questions and the histogram of rejections.
 
     ``answers(id, answer)`` hold JSON with a ``question``; ``corpus(id, text)`` gives the idf;
-    ``near(a, b)`` are pairs of near duplicates among the passages, which are gold too, as are all
-    passages of the ticker with the same words as either of a pair or as the kept passage.
+    ``links`` and ``members`` are what :func:`labels.similar_sets` says of the passages: every passage
+    similar to a kept one is gold too. Rejections are counted among the answers looked at before a
+    ticker's quota is full, all of them if it isn't.
     """
     asked = answers.withColumn("j", F.from_json(extract_json("answer"), "question string, topic string")).filter("trim(j.question) <> ''")
     p = passages.join(asked, passages["chunk_id"] == asked["id"]).select("chunk_id", "ticker", "item", "report_date", "text", F.trim("j.question").alias("question"), "j.topic")
     verdict = labels.screened(p.select(F.col("chunk_id").alias("pid"), "question", F.col("text").alias("gold_text")), labels.idf(corpus))
-    both = p.join(verdict, p["chunk_id"] == verdict["pid"])
-    kept = sampling.quota(both.filter("reason IS NULL"), "ticker", per_ticker, [sampling.seeded(seed, "chunk_id"), "chunk_id"])
-    # Passages of a ticker with the same words are one class; near names one of each, and stands for all of it.
-    words = F.array_sort(F.array_distinct(tokens("text")))
-    cls = F.when(F.col("ticker").isNotNull() & (F.size(words) > 0), F.xxhash64("ticker", words)).otherwise(F.xxhash64("chunk_id"))
-    member = passages.select("chunk_id", cls.alias("cls")).distinct()
-    linked = near.select("a", "b").join(member.toDF("a", "ca"), "a").join(member.toDF("b", "cb"), "b").select("ca", "cb")
-    linked = linked.union(linked.select("cb", "ca")).union(member.select("cls", "cls")).toDF("cls", "to").distinct()
-    pairs = kept.select("chunk_id").distinct().join(member, "chunk_id").join(linked, "cls").join(member.toDF("other", "to"), "to")
-    pairs = pairs.filter("other <> chunk_id").groupBy("chunk_id").agg(F.sort_array(F.collect_set("other")).alias("others"))
-    out = kept.join(pairs, "chunk_id", "left")
+    both = staged(p.join(verdict, p["chunk_id"] == verdict["pid"]).withColumn("_order", sampling.seeded(seed, "chunk_id")))
+    kept = sampling.quota(both.filter("reason IS NULL"), "ticker", per_ticker, ["_order", "chunk_id"])
+    last = kept.filter(F.col("place") == per_ticker).select(F.col("ticker").alias("_t"), F.struct("_order", "chunk_id").alias("_last"))
+    looked = both.join(last, both["ticker"].eqNullSafe(last["_t"]), "left").filter(F.col("_last").isNull() | (F.struct("_order", "chunk_id") <= F.col("_last")))
+    others = labels.near_records(kept.select(F.col("chunk_id").alias("id")), links, members).groupBy(F.col("id").alias("chunk_id")).agg(F.sort_array(F.collect_set("other")).alias("others"))
+    out = kept.join(others, "chunk_id", "left")
     gold = F.concat(F.array("chunk_id"), F.coalesce("others", F.array().cast("array<string>")))
     out = out.select(F.concat("chunk_id", F.lit("-narr")).alias("qid"), "question", "topic", "ticker", "item", F.left("report_date", F.lit(4)).alias("fiscal_year"), gold.alias("gold_chunk_ids"), F.col("overlap").alias("idf_overlap"), F.lit("narrative").alias("split"), F.lit("written, screened").alias("source"))
-    return out, labels.rejections(verdict)
+    return out, labels.rejections(looked)

@@ -124,3 +124,8 @@ def test_template(spark):
 
 def test_log2_is_what_metrics_use(spark):
     assert math.isclose(values(spark, F.log2("x"), [(8.0,)], "x double")[0], 3.0)
+
+
+def test_large_values_keep_all_digits(spark):
+    got = values(spark, facts.value_formats("v"), [(v,) for v in (1.2345678901234567e19, -9.3e18)], "v double")
+    assert "12,345,678,901,234,567,168" in got[0] and "12345678901234567168" in got[0] and "-9,300,000,000,000,000,000" in got[1]

@@ -288,17 +288,27 @@ def test_similar_sets_like_brute_force(spark, rows):
         s = frozenset(w for w in (t or "").split() if len(w) > 2 and w not in ("the",))
         if s and g:
             sets.setdefault(g, []).append((i, s))
-    want = []
+    want, links = [], []
     for g, L in sets.items():
-        first = {}
-        for i, s in sorted(L):
-            if s in first:
-                want.append((g, first[s], i))
-            else:
-                first[s] = i
+        first = {s: min(i for i, t in L if t == s) for _, s in L}
+        near = {i: {j for j, t in L if j != i and len(s & t) / len(s | t) >= 0.55} for i, s in L}
+        want += [(g, i, first[s], len(near[i])) for i, s in L]
         reps = sorted((i, s) for s, i in first.items())
-        want += [(g, a, b) for n, (a, s) in enumerate(reps) for b, t in reps[n + 1 :] if len(s & t) / len(s | t) >= 0.55]
-    assert rows(labels.similar_sets(df), "group", "a", "b") == sorted(want)
+        links += [(g, a, b) for n, (a, s) in enumerate(reps) for b, t in reps[n + 1 :] if len(s & t) / len(s | t) >= 0.55]
+    found, members = labels.similar_sets(df)
+    assert rows(found, "group", "a", "b") == sorted(links)
+    assert rows(labels.near_counts(found, members), "group", "id", "cls", "n_near") == sorted(want)
+
+
+def test_copies_and_their_neighbour_are_all_near_each_other(spark, rows):
+    """Three copies and a neighbour of each: every one has the three others."""
+    same = "freight volumes fell harbour strikes closed terminals weeks"
+    df = spark.createDataFrame([("a", "A", same), ("b", "A", same), ("c", "A", same.upper()), ("d", "A", same + " again"), ("e", "B", same)], "id string, group string, text string")
+    found, members = labels.similar_sets(df)
+    assert rows(labels.near_records(df.select("id"), found, members)) == sorted((x, y) for x in "abcd" for y in "abcd" if x != y)
+    assert rows(labels.near_counts(found, members), "id", "cls", "n_near") == [("a", "a", 3), ("b", "a", 3), ("c", "a", 3), ("d", "d", 3), ("e", "e", 0)]
+    none = df.limit(0)
+    assert labels.near_counts(*labels.similar_sets(none)).count() == 0
 
 
 def test_narrative_questions(spark):
@@ -310,8 +320,8 @@ def test_narrative_questions(spark):
     prompt = {r["id"]: r["prompt"] for r in eval_sets.writer_prompts(p).collect()}
     assert "section Risk." in prompt["1"] and "section Item 7." in prompt["5"] and '{"question": "..."' in prompt["1"]
     answers = spark.createDataFrame([("1", 'Sure: {"question": "Why did A ship less cargo through ports lately?", "topic": "ports"}'), ("5", '{"question": "harbour strikes closed several terminals?"}')], "id string, answer string")
-    near = spark.createDataFrame([("1", "5")], "a string, b string")
-    q, rejected = eval_sets.narrative_questions(p, answers, chunks.select("chunk_id", "text").toDF("id", "text"), near)
+    near = labels.similar_sets(p.select("chunk_id", "ticker", "text").toDF("id", "group", "text"))
+    q, rejected = eval_sets.narrative_questions(p, answers, chunks.select("chunk_id", "text").toDF("id", "text"), *near)
     assert [(r["qid"], r["gold_chunk_ids"]) for r in q.collect()] == [("1-narr", ["1", "5"])]
     assert [tuple(r) for r in rejected.collect()] == [("shared", 1)]
 
@@ -323,5 +333,26 @@ def test_narrative_gold_holds_all_members_of_classes(spark):
     p = spark.createDataFrame(rows, "chunk_id string, ticker string, item string, item_title string, kind string, report_date string, text string")
     answers = spark.createDataFrame([("4", '{"question": "Why did A ship less cargo through ports lately?"}')], "id string, answer string")
     near = labels.similar_sets(p.select("chunk_id", "ticker", "text").toDF("id", "group", "text"))
-    q, _ = eval_sets.narrative_questions(p, answers, p.select("chunk_id", "text").toDF("id", "text"), near)
+    q, _ = eval_sets.narrative_questions(p, answers, p.select("chunk_id", "text").toDF("id", "text"), *near)
     assert [r["gold_chunk_ids"] for r in q.collect()] == [["4", "1", "2", "3"]]
+
+
+def test_rejections_are_counted_until_the_quota_is_full(spark):
+    """Of passages in seeded order, those after the last one kept aren't looked at; twice the quota is asked about."""
+    body = "Freight volumes fell as harbour strikes closed several terminals for weeks. " * 15
+    p = spark.createDataFrame([(f"{i:02}", "A", "7", None, "text", "2024-01-01", f"{body} {i}") for i in range(20)], "chunk_id string, ticker string, item string, item_title string, kind string, report_date string, text string")
+    asked = sorted(r[0] for r in eval_sets.to_ask(p, 3).select("chunk_id").collect())
+    assert len(asked) == 6
+    order = sorted((f"{i:02}" for i in range(20)), key=lambda i: __import__("hashlib").md5(f"0|{i}".encode()).hexdigest())
+    assert asked == sorted(order[:6])
+    bad = order[1]
+    answers = spark.createDataFrame([(i, json.dumps({"question": "harbour strikes closed several terminals?" if i in (bad, order[5]) else "Why did A ship less cargo through ports lately?"})) for i in order[:6]], "id string, answer string")
+    near = labels.similar_sets(p.select("chunk_id", "ticker", "text").toDF("id", "group", "text"))
+    q, rejected = eval_sets.narrative_questions(p, answers, p.select("chunk_id", "text").toDF("id", "text"), *near, per_ticker=3)
+    assert q.count() == 3 and [tuple(r) for r in rejected.collect()] == [("shared", 1)]
+
+
+def test_concepts_keep_to_a_list(spark, rows):
+    f = spark.createDataFrame([("A", "Assets", "assets", 5.0, "2020-01-01", "2020-12-31", "10-K"), ("A", "Other", "other", 5.0, "2020-01-01", "2020-12-31", "10-K")], "ticker string, concept string, label string, val double, period_start string, period_end string, form string")
+    concepts = spark.createDataFrame([("Assets", "total assets")], "concept string, label string")
+    assert rows(eval_sets.eligible_facts(f, concepts), "concept", "label") == [("Assets", "total assets")]
