@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +24,10 @@ ALIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     # Armenian
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "ա": "w", "Տ": "S", "Լ": "L", "Օ": "O",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮒ": "h", "Ꮓ": "Z", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏼ": "B",
+    # Coptic
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "ⲩ": "y", "Ⲭ": "X", "ⲭ": "x",
     # Latin drawn as other Latin
     "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "L", "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
 }
@@ -34,6 +38,9 @@ OWN_RIGHT = "™℠…‥´¨¯¸·½¼¾²³¹ªºµ№℅℀℁‑"
 #: Kinds of compatibility form that are another width or style of the same character.
 STYLES = ("<font>", "<wide>", "<narrow>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>", "<vertical>")
 
+#: Letters of the shortest word of which one foreign letter may stand for any.
+LEAST_LETTERS = 5
+
 #: What a text must hold to be looked at more closely: all but ASCII, typographic quotes and dashes, signs, and letters with accents in one character.
 SUSPECT = r"[^\n\t\r -~¡-¬®-İĴ-ľŁ-ňŊ-ž‐-―‘-‟†-•…‰‹›€™]"
 
@@ -153,8 +160,24 @@ def by_table(word: str) -> str:
 _ONE = str.maketrans({"v": "u", "y": "u"})
 
 
+def foreign(ch: str) -> bool:
+    """Whether a letter is of a script drawn like Latin, but itself like no Latin letter that the table knows."""
+    return ch not in ALIKE and script(ch) in MINGLED and script(ch) != "LATIN"
+
+
 def key(word: str) -> str:
-    return by_table(word).lower().translate(_ONE)
+    """What a word shares with its spellings: its form by the table; with one foreign letter in a word meant as Latin, that form without the letter."""
+    low = by_table(word).lower()
+    odd = [i for i, c in enumerate(low) if foreign(c)]
+    if len(odd) == 1 and len(word) >= LEAST_LETTERS and home(word) == "LATIN":
+        low = "*" + low[: odd[0]] + low[odd[0] + 1 :]
+    return low.translate(_ONE)
+
+
+def keys(word: str) -> set[str]:
+    """The keys that a word of the vocabulary may be looked for under: its own, and those without one letter."""
+    low = word.lower().translate(_ONE)
+    return {low} | ({"*" + low[:i] + low[i + 1 :] for i in range(len(low))} if len(low) >= LEAST_LETTERS else set())
 
 
 class Trie:
@@ -169,11 +192,13 @@ class Trie:
             node = node.setdefault(c, {})
         node[None] = node.get(None, 0) + count
 
-    def spell(self, word: str, most: float = 0.0) -> str | None:
-        """The commonest word reached at the least cost up to ``most`` by an edit automaton: look-alikes and characters that aren't drawn cost nothing, any other edit 1; None if there is none.
+    def spell(self, word: str, most: float = 0.0, paid: Callable[[str], bool] | None = None) -> str | None:
+        """The spelling reached at the least cost up to ``most`` by a weighted edit automaton, the commonest of equal ones; None if there is none.
 
-        A state is a position in the word and a node of the trie, visited again only at less cost.
-        With ``most`` 0 only look-alikes are followed.
+        Look-alikes and characters that aren't drawn cost nothing, any other edit 1. With ``paid``
+        only letters it holds of may be replaced or dropped, and none put in. A state is a position in
+        the word and a node of the trie, visited again only at less cost. With ``most`` 0 only
+        look-alikes are followed.
         """
         best: tuple[float, int, str] | None = None
         seen: dict[tuple[int, str], float] = {}
@@ -191,22 +216,24 @@ class Trie:
                 c = word[i]
                 near = {c, *ALIKE.get(c, "")}
                 stack.extend((cost, i + 1, done + d, node[d]) for d in near if d in node)
+                edit = cost < most and (paid is None or paid(c))
                 if plain(c) == "":
                     stack.append((cost, i + 1, done, node))
-                elif cost < most:
+                elif edit:
                     stack.append((cost + 1, i + 1, done, node))
-                if cost < most:
+                if edit:
                     stack.extend((cost + 1, i + 1, done + d, child) for d, child in node.items() if d is not None and d not in near)
-            if cost < most:
+            if cost < most and paid is None:
                 stack.extend((cost + 1, i, done + d, child) for d, child in node.items() if d is not None)
         return best[2] if best else None
 
 
 def spelled(word: str, trie: Trie) -> str | None:
     """A spelling of ``word`` in the trie: as it stands, else in lower case and cased like the word."""
-    found = trie.spell(word)
+    most = float(any(map(foreign, word)))  # one such letter may stand for any, since the table knows no likeness of it
+    found = trie.spell(word, most, foreign)
     if found is None:
-        low = trie.spell(word.lower())
+        low = trie.spell(word.lower(), most, foreign)
         if low is not None:
             shape = by_table(word)
             found = low.upper() if shape.isupper() and len(shape) > 1 else low[:1].upper() + low[1:] if shape[:1].isupper() else low
@@ -224,35 +251,39 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words a batch holds that are plain Latin, in any case."""
-    for b in batches:
-        c: Counter = Counter()
-        for t in b.column(0).to_pylist():
-            c.update(_word.findall(t))
-        rows = [(w, n) for w, n in c.items() if w.isascii() or (not mixed(w) and script(w[0]) == "LATIN" and plain(w[0]) is None)]
-        keys = [key(w) for w, _ in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["key", "word", "n"])
+def _vocabulary(starred: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the words a batch holds that are plain Latin, in any case, under each key they may be looked for by; without one letter only if ``starred``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                c.update(_word.findall(t))
+            rows = [(w, n) for w, n in c.items() if w.isascii() or (not mixed(w) and script(w[0]) == "LATIN" and plain(w[0]) is None)]
+            found = [(k, w, n) for w, n in rows for k in ({key(w)} | keys(w) if starred else {key(w)})]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["key", "word", "n"])
+
+    return count
 
 
 def spellings(words: DataFrame, texts: DataFrame, shards: int | None = None) -> DataFrame:
     """``(word, spelling)`` of each distinct mixed word of ``words(word)``, by tries over the vocabulary of ``texts(text)``.
 
-    Words and their spellings share a key, so each key's part of the vocabulary is a small trie of
+    Words and their spellings share a key (:func:`key`, :func:`keys`), so each key's part of the vocabulary is a small trie of
     its own, and any number of tasks share the work. Only vocabulary whose key some mixed word has is
     shuffled. A word no trie holds is spelled by the table.
     """
     to_key = F.pandas_udf(lambda s: s.map(key), "string")
     asked = staged(words.distinct().withColumn("key", to_key("word")))
-    keys = asked.select("key").distinct()
-    count = texts.mapInArrow(_vocabulary, "key string, word string, n long")
-    known = count.join(small(keys), "key", "left_semi").groupBy("key", "word").agg(F.sum("n").alias("n"))
+    wanted = asked.select("key").distinct()
+    count = texts.mapInArrow(_vocabulary(not asked.filter("key LIKE '*%'").isEmpty()), "key string, word string, n long")
+    known = count.join(small(wanted), "key", "left_semi").groupBy("key", "word").agg(F.sum("n").alias("n"))
     shards = shards or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards * 4)).cast("int")
 
     def look_up(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         trie = Trie()
-        for w, n in zip(known["word"], known["n"]):
+        for w, n in dict(zip(known["word"], known["n"])).items():
             trie.add(w, n)
         return pd.DataFrame({"word": asked["word"], "spelling": [spelled(w, trie) or by_table(w) for w in asked["word"]]})
 

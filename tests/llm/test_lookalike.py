@@ -57,6 +57,22 @@ def test_trie_with_costs_is_edit_distance():
     assert t.spell("dg", 1) == "dog" and t.spell("dgo", 1) is None and t.spell("dgo", 2) == "dog"
 
 
+def test_a_foreign_letter_without_likeness_stands_for_one_letter():
+    t = L.Trie()
+    for w, n in (("report", 5), ("resort", 9), ("retort", 2), ("names", 9)):
+        t.add(w, n)
+    assert t.spell("reжort", 1, L.foreign) == "resort"  # the commonest at the same cost
+    assert t.spell("rеport", 1, L.foreign) == "report" and t.spell("nаme", 1, L.foreign) is None
+    assert L.spelled("Reжort", t) == "Resort" and L.spelled("reжжort", t) is None
+    assert L.key("reжort") in L.keys("report") and L.key("Reжort") in L.keys("resort") and L.key("nаme") == "name"
+
+
+def test_foreign_letters_are_spelled_by_the_vocabulary(spark):
+    data = [("chunks", "1", "harbour fees and harbour dues", 1, ""), ("chunks", "2", "The harbжur fees", 1, ""), ("chunks", "3", "Ꮲrepaid Ꮯosts", 1, ""), ("chunks", "4", "zzжzz unheard", 1, "")]
+    got = {r["record_id"]: (r["text"], r["n_changed"]) for r in L.consistent(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got["2"] == ("The harbour fees", 1) and got["3"] == ("Prepaid Costs", 2) and got["4"][1] == 1
+
+
 def test_consistent(spark):
     data = [
         ("chunks", "1", "The payment of any investment is due.", 1, ""),
