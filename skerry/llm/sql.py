@@ -32,6 +32,7 @@ SQL = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 2400",
     "p3_found": f"""WITH {PAIRS} SELECT chunk_id_a, chunk_id_b FROM (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.ticker = b.ticker AND a.b = b.b AND a.chunk_id < b.chunk_id GROUP BY ALL) WHERE k >= 0.55 * (na + nb - k)""",
     "p4_found": f"WITH {UNIT} SELECT DISTINCT least(id, other_id) AS id_a, greatest(id, other_id) AS id_b FROM k WHERE r <= 5 AND c >= 0.9",
+    "p4_similar": f"WITH {UNIT}, nm AS (SELECT DISTINCT id, chunk_id FROM vectors) SELECT k.id, a.chunk_id, r::INT AS rank, other_id, b.chunk_id AS other_chunk_id, c AS cosine FROM k JOIN nm a ON a.id = k.id JOIN nm b ON b.id = other_id WHERE r <= 5 AND k.id % 100 = 0",
     "p5_found": f"""WITH t AS (SELECT 'chunks' AS tbl, chunk_id AS record_id, text FROM chunks UNION ALL SELECT 'eval_narrative', qid, question FROM eval_narrative)
 SELECT DISTINCT tbl, record_id FROM t WHERE regexp_matches(text, '{STAND_IN}') OR regexp_matches(text, '{MIXED}')""",
     "p6_found": f"WITH {LINES} SELECT chunk_id, line_no::INT AS line_no FROM found",
