@@ -57,23 +57,32 @@ def idf(corpus: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.round(F.ln(F.lit(float(n)) / (1 + F.col("df"))), 9))
 
 
-def idf_overlap(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(pid, overlap)`` of ``pairs(pid, question, gold_text)``: the share of the question's idf that words of the gold text hold; 0 if it has none."""
-    p = pairs.select("pid", F.array_distinct(tokens("question")).alias("q"), F.array_distinct(F.coalesce(tokens("gold_text"), F.array().cast("array<string>"))).alias("g"))
-    each = p.select("pid", F.explode("q").alias("term"), "g")
-    each = each.withColumn("shared", F.array_contains("g", F.col("term"))).drop("g").join(weights.select("term", "idf"), "term", "left")
+def _token_pairs(pairs: DataFrame) -> DataFrame:
+    """``(pid, q, g)``: the content words of question and gold text, in order; a missing gold text has none."""
+    return pairs.select("pid", tokens("question").alias("q"), F.coalesce(tokens("gold_text"), F.array().cast("array<string>")).alias("g"))
+
+
+def _overlap(p: DataFrame, weights: DataFrame) -> DataFrame:
+    each = p.select("pid", "g", F.explode(F.array_distinct("q")).alias("term"))
+    each = each.select("pid", "term", F.array_contains("g", F.col("term")).alias("shared")).join(weights.select("term", "idf"), "term", "left")
     w = F.coalesce("idf", F.lit(0.0))
     s = each.groupBy("pid").agg(F.sum(w).alias("all"), F.sum(F.when(F.col("shared"), w).otherwise(0.0)).alias("got"))
     return p.select("pid").join(s, "pid", "left").select("pid", F.round(F.coalesce(share_of(F.col("got"), F.col("all")), F.lit(0.0)), 6).alias("overlap"))
 
 
+def idf_overlap(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(pid, overlap)`` of ``pairs(pid, question, gold_text)``: the share of the question's idf that words of the gold text hold; 0 if it has none."""
+    return _overlap(staged(_token_pairs(pairs)), weights)
+
+
 def screened(pairs: DataFrame, weights: DataFrame, n: int = 4, most: float = 0.725) -> DataFrame:
     """``(pid, overlap, reason)``: why a question gives its passage away, the first that holds; null if it doesn't.
 
-    ``too short`` under four content words; a shared run of ``n`` content words; an idf overlap above ``most``.
+    ``too short`` under four content words; a shared run of ``n`` content words; an idf overlap above
+    ``most``. Words are taken from the texts once.
     """
-    q, g = tokens("question"), F.coalesce(tokens("gold_text"), F.array().cast("array<string>"))
-    p = pairs.select("pid", F.size(q).alias("k"), F.arrays_overlap(ngrams(q, n), ngrams(g, n)).alias("copied")).join(idf_overlap(pairs, weights), "pid")
+    t = staged(_token_pairs(pairs))
+    p = t.select("pid", F.size("q").alias("k"), F.arrays_overlap(ngrams("q", n), ngrams("g", n)).alias("copied")).join(_overlap(t, weights), "pid")
     reason = F.when(F.col("k") < 4, F.lit("too short")).when(F.coalesce("copied", F.lit(False)), F.lit(f"shared {n}-gram")).when(F.col("overlap") > most, F.format_string("idf overlap %.2f", "overlap"))
     return p.select("pid", "overlap", reason.alias("reason"))
 
