@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -219,9 +221,14 @@ def fuse_ranks(ranks: DataFrame, constant: int = 60) -> DataFrame:
 
 
 def minmax(scores: DataFrame, by: list[str], score: str = "score") -> DataFrame:
-    """``scores`` with ``norm``: the score scaled to 0..1 within each group, 1 for all if they are equal; 9 digits."""
-    lo, hi = F.min(score).over(w := Window.partitionBy(*by)), F.max(score).over(w)
-    return scores.withColumn("norm", F.when(hi <= lo, F.lit(1.0)).otherwise(F.round((F.col(score) - lo) / F.nullif(hi - lo, F.lit(0)), 9)))
+    """``scores`` with ``norm``: the score scaled to 0..1 within each group, 1 for all if they are equal; 9 digits.
+
+    A group's ends come from one combined aggregation and are joined to its rows, so no task holds a group.
+    """
+    ends = scores.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    norm = F.when(F.col("_hi") <= F.col("_lo"), F.lit(1.0)).otherwise(F.round((F.col(score) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)), 9))
+    return scores.join(ends, same).withColumn("norm", norm).select(*scores.columns, "norm")
 
 
 def score_maps(dense: DataFrame, sparse: DataFrame) -> DataFrame:

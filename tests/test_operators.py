@@ -356,3 +356,21 @@ def test_concepts_keep_to_a_list(spark, rows):
     f = spark.createDataFrame([("A", "Assets", "assets", 5.0, "2020-01-01", "2020-12-31", "10-K"), ("A", "Other", "other", 5.0, "2020-01-01", "2020-12-31", "10-K")], "ticker string, concept string, label string, val double, period_start string, period_end string, form string")
     concepts = spark.createDataFrame([("Assets", "total assets")], "concept string, label string")
     assert rows(eval_sets.eligible_facts(f, concepts), "concept", "label") == [("Assets", "total assets")]
+
+
+def test_interleave_numbers_a_hot_group_over_many_ranges(spark, rows):
+    data = [("hot", i) for i in range(3000)] + [(f"g{i % 7}", i) for i in range(500)] + [(None, 5), (None, 4), ("hot", 7)]
+    df = spark.createDataFrame(data, "g string, i int")
+    got = rows(sampling.interleave(df, "g", ["i"]), "g", "i", "turn")
+    want = []
+    for g in {g for g, _ in data}:
+        want += [(g, i, n) for n, i in enumerate(sorted(i for h, i in data if h == g), 1)]
+    assert got == sorted(want, key=lambda r: tuple((x is not None, str(type(x)), x) for x in r))
+    assert sampling.interleave(df.limit(0), "g", ["i"]).count() == 0
+    first = sampling.interleave(df, "g", ["i"], limit=9).collect()
+    assert [r["turn"] for r in first] == [1] * 9
+
+
+def test_minmax_of_groups_and_nulls(spark, rows):
+    df = spark.createDataFrame([("a", 1.0, "x"), ("a", 3.0, "y"), ("a", None, "z"), ("b", 2.0, "x"), (None, 5.0, "x"), (None, 7.0, "y")], "qid string, score double, id string")
+    assert rows(retrieval.minmax(df, ["qid"]), "qid", "id", "norm") == [(None, "x", 0.0), (None, "y", 1.0), ("a", "x", 0.0), ("a", "y", 1.0), ("a", "z", None), ("b", "x", 1.0)]
