@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions.facts import value_formats
 from skerry.functions.text import ngrams, overlap_tokens, share_of, tokens
-from skerry.runtime import staged
+from skerry.operators import setjoin
+from skerry.runtime import small, staged
 
 #: Characters that formatted values are made of, in runs.
 NUMBER_RUN = "[0-9.,-]{3,}"
@@ -100,33 +101,36 @@ def lexical_overlap(pairs: DataFrame) -> DataFrame:
     return size.join(hit, "qid", "left").select("qid", F.round(share_of(F.coalesce("hit", F.lit(0)).cast("double"), F.col("size")), 6).alias("overlap"))
 
 
+def _sets(records: DataFrame) -> DataFrame:
+    """``(group, id, set, key)``: the sorted distinct words, and a digest that only equal sets share. The set of a null text is null."""
+    r = records.select("id", "group", F.array_sort(F.array_distinct(tokens("text"))).alias("set"))
+    # Words hold no space. A key that can't be null needs no filter, for which the words would be taken twice.
+    return r.select("group", "id", "set", F.coalesce(F.unhex(F.sha2(F.array_join("set", " "), 256)), F.lit(b"")).alias("key"))
+
+
 def similar_sets(records: DataFrame, least: float = 0.55) -> tuple[DataFrame, DataFrame]:
     """``(group, a, b, similarity)``, ``a < b``, and ``(group, id, cls)``: which classes of records of one group are similar, exactly, and the class of every record.
 
     ``records(id, group, text)``. Records of a group with the same set of words are one class, named by its
     least id; two records are similar if they are of one class or of two classes linked. A link means a
-    Jaccard similarity of the sets of at least ``least``. Words are ordered from rare to common; two sets
-    that similar share one of the first ``n - ceil(least n) + 1`` words of each, so only these meet.
-    Sets whose sizes differ too much are not compared. Candidates are verified on the whole sets.
+    Jaccard similarity of the sets of at least ``least``. Classes meet by their hashed words
+    (:func:`setjoin.similar_pairs`); the pairs found are verified on the words themselves.
 
     Null ids, groups and texts and texts without words are in no class. Repeated rows count once.
+    Records are read more than once, each time a few columns, so they should be cheap to read again.
     """
-    r = records.filter("id IS NOT NULL AND group IS NOT NULL").select("id", "group", F.array_sort(F.array_distinct(tokens("text"))).alias("set")).filter(F.size("set") > 0)
-    one = staged(r.groupBy("group", "set").agg(F.min("id").alias("id")))
-    df = one.select(F.explode("set").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    words = one.select("group", "id", F.size("set").alias("n"), F.explode("set").alias("term")).join(df, "term")
-    at = F.row_number().over(Window.partitionBy("group", "id", "n").orderBy("df", "term"))
-    words = words.withColumn("at", at).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    a, b = words.select("group", "term", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia")), words.select("group", "term", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    # What both can still share after this word bounds their similarity.
-    bound = (F.col("na") + F.col("nb")) * (least / (1 + least))
-    pairs = a.join(b, ["group", "term"]).filter((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
-    pairs = pairs.groupBy("group", "a", "b").agg(F.count("*").alias("k"), F.min(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))).alias("rest"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = pairs.filter(F.col("k") + F.col("rest") >= bound - 1e-9).select("group", "a", "b")
-    both = pairs.join(one.withColumnsRenamed({"id": "a", "set": "sa"}), ["group", "a"]).join(one.withColumnsRenamed({"id": "b", "set": "sb"}), ["group", "b"])
+    records = records.filter("id IS NOT NULL AND group IS NOT NULL")
+    sets = _sets(records)
+    hashed = sets.select("group", "id", "key", F.transform("set", lambda w: F.hash(w)).alias("h"))
+    one = hashed.groupBy("group", "key").agg(F.min("id").alias("id"), F.first("h").alias("h")).filter(F.size("h") > 0)
+    pairs = staged(setjoin.similar_pairs(one, records, least))
+    ends = small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    words = _sets(records.join(ends, "id", "left_semi")).groupBy("group", "id", "key").agg(F.first("set").alias("set"))
+    both = pairs.join(words.toDF("group", "a", "ka", "sa"), ["group", "a", "ka"]).join(words.toDF("group", "b", "kb", "sb"), ["group", "b", "kb"])
     k = F.size(F.array_intersect("sa", "sb"))
     links = both.withColumn("similarity", F.round(k / (F.size("sa") + F.size("sb") - k), 6)).filter(F.col("similarity") >= least).select("group", "a", "b", "similarity")
-    members = r.join(one.withColumnRenamed("id", "cls"), ["group", "set"]).select("group", "id", "cls").distinct()
+    known = sets.select("group", "id", "key", F.size("set").alias("n")).groupBy("group", "id", "key").agg(F.max("n").alias("n")).filter("n > 0")
+    members = known.join(known.groupBy("group", "key").agg(F.min("id").alias("cls")), ["group", "key"]).select("group", "id", "cls").distinct()
     return links, members
 
 

@@ -509,6 +509,11 @@ SETS = f"""{CH}, s AS (SELECT DISTINCT chunk_id AS id, ticker AS g, list_sort(li
 one AS (SELECT g, w, min(id) AS id FROM s1 GROUP BY g, w), t AS (SELECT g, id, len(w) AS n, unnest(w) AS x FROM one)"""
 
 
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by ticker, rows repeated as they are: similar_sets counts them once."""
+    return table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), F.col("ticker").alias("group"), "text")
+
+
 # All records meet all others of their ticker: what is near is counted on the records themselves.
 SIMILAR = "near AS (SELECT a.g, a.id AS a, b.id AS b FROM y a JOIN y b ON a.g = b.g AND a.x = b.x AND a.id <> b.id GROUP BY a.g, a.id, b.id, a.n, b.n HAVING count(*) >= 0.55 * (a.n + b.n - count(*)))"
 
@@ -517,7 +522,7 @@ SIMILAR = "near AS (SELECT a.g, a.id AS a, b.id AS b FROM y a JOIN y b ON a.g =
 SELECT s1.g AS "group", s1.id, one.id AS cls, coalesce(k, 0) AS n_near FROM s1 JOIN one ON one.g = s1.g AND one.w = s1.w LEFT JOIN (SELECT g, a, count(*) AS k FROM near GROUP BY g, a) z ON z.g = s1.g AND z.a = s1.id""")
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """One row a chunk: its class of chunks with the same words, and how many others of its ticker are near it."""
-    return labels.near_counts(*map(staged, labels.similar_sets(chunks(spark, d, "chunk_id", "ticker", "text").toDF("id", "group", "text"))))
+    return labels.near_counts(*map(staged, labels.similar_sets(records(spark, d))))
 
 
 @query(f"""WITH {SETS} SELECT * FROM (SELECT a.g AS "group", a.id AS a, b.id AS b, round(count(*)::DOUBLE / (a.n + b.n - count(*)), 6) AS similarity FROM t a JOIN t b ON a.g = b.g AND a.x = b.x AND a.id < b.id GROUP BY a.g, a.id, b.id, a.n, b.n) WHERE similarity >= 0.55""")

@@ -374,3 +374,37 @@ def test_interleave_numbers_a_hot_group_over_many_ranges(spark, rows):
 def test_minmax_of_groups_and_nulls(spark, rows):
     df = spark.createDataFrame([("a", 1.0, "x"), ("a", 3.0, "y"), ("a", None, "z"), ("b", 2.0, "x"), (None, 5.0, "x"), (None, 7.0, "y")], "qid string, score double, id string")
     assert rows(retrieval.minmax(df, ["qid"]), "qid", "id", "norm") == [(None, "x", 0.0), (None, "y", 1.0), ("a", "x", 0.0), ("a", "y", 1.0), ("a", "z", None), ("b", "x", 1.0)]
+
+
+@pytest.mark.parametrize("block", [8, 40, 1000])
+def test_similar_pairs_in_blocks_like_brute_force(spark, rows, block):
+    """A large group in blocks, small ones in portions, sizes from 1 to 700; hashes that fall together lose no pair."""
+    import random
+
+    from skerry.operators import setjoin
+
+    r = random.Random(5)
+    data = []
+    for g, n in (("big", 90), ("b", 12), ("c", 1)):
+        for i in range(n):
+            base = data[-1][2] if data and data[-1][0] == g and i % 3 else [r.randrange(4000) for _ in range(r.choice((1, 5, 40, 150, 700)))]
+            data.append((g, f"{g}{i:03}", sorted({w if r.random() < 0.8 else r.randrange(4000) for w in base}), f"{g}{i}".encode()))
+    sets = spark.createDataFrame([(g, i, k, [w if w % 50 else 7 for w in s]) for g, i, s, k in data], "group string, id string, key binary, h array<int>")
+    got = rows(setjoin.similar_pairs(sets, sets.select("group"), 0.55, block=block), "a", "b")
+    near = lambda s, t: len(set(s) & set(t)) >= 0.55 * len(set(s) | set(t))
+    want = {(x[1], y[1]) for x in data for y in data if x[0] == y[0] and x[1] < y[1] and near(x[2], y[2])}
+    assert len(want) > 20 and want <= set(got) and len(got) == len(set(got)) < len(want) + 20
+
+
+def test_similar_sets_of_a_large_group_shuffle_no_pairs(spark, rows, monkeypatch):
+    """600 sets that share their rarest words by the hundred: pairs are only written where they are similar."""
+    import random
+
+    r = random.Random(2)
+    text = lambda i: " ".join([f"rare{i % 3}{x}" for x in "abcdefgh"] + [f"word{r.randrange(5000)}" for _ in range(20)])
+    df = spark.createDataFrame([(f"{i:03}", "A", text(i)) for i in range(600)] + [("x", "A", None), ("y", None, "some words"), ("z", "A", "")], "id string, group string, text string")
+    written, stage = [], labels.staged
+    monkeypatch.setattr(labels, "staged", lambda d: written.append(stage(d)) or written[-1])
+    links, members = labels.similar_sets(df)
+    assert links.count() == 0 and members.count() == 600
+    assert written[-1].columns[:2] == ["group", "a"] and written[-1].count() == 0
