@@ -528,7 +528,7 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SETS} SELECT * FROM (SELECT a.g AS "group", a.id AS a, b.id AS b, round(count(*)::DOUBLE / (a.n + b.n - count(*)), 6) AS similarity FROM t a JOIN t b ON a.g = b.g AND a.x = b.x AND a.id < b.id GROUP BY a.g, a.id, b.id, a.n, b.n) WHERE similarity >= 0.55""")
 def near_duplicate_links(spark: SparkSession, d: str) -> DataFrame:
     """The links between classes."""
-    return labels.similar_sets(chunks(spark, d, "chunk_id", "ticker", "text").toDF("id", "group", "text"))[0]
+    return labels.similar_sets(records(spark, d))[0]
 
 
 # ---- documents

@@ -408,3 +408,15 @@ def test_similar_sets_of_a_large_group_shuffle_no_pairs(spark, rows, monkeypatch
     links, members = labels.similar_sets(df)
     assert links.count() == 0 and members.count() == 600
     assert written[-1].columns[:2] == ["group", "a"] and written[-1].count() == 0
+
+
+def test_near_duplicate_links_read_repeated_rows_as_they_are(spark, rows, tmp_path):
+    """Texts are not sorted out before: repeated rows, one id of two texts and empty texts give each link once, and no pair of words is made."""
+    from skerry.plans import catalog
+
+    body = "freight volumes fell harbour strikes closed terminals weeks"
+    data = [("a", "A", body), ("a", "A", body), ("b", "A", body + " again"), ("b", "A", body + " again"), ("c", "A", body.upper()), ("d", "B", body), ("e", "A", "other words here"), ("e", "A", "different words altogether"), ("f", "A", None), ("g", None, body), ("h", "A", "")]
+    spark.createDataFrame(data, "chunk_id string, ticker string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = catalog.near_duplicate_links(spark, str(tmp_path))
+    assert rows(got) == [("A", "a", "b", round(8 / 9, 6))]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
