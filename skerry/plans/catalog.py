@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skerry.functions import chat, facts, jsonx, text
 from skerry.operators import chunking, flatten, html, labels, metrics, retrieval, sampling
 from skerry.plans import eval_sets, retrieval as plans
-from skerry.runtime import filled, staged, table
+from skerry.runtime import filled, once, small, staged, table
 from skerry.sources import files, providers
 from skerry.sources.files import question_year
 
@@ -638,12 +638,13 @@ s AS (SELECT DISTINCT chunk_id AS id, ticker AS g, list_distinct({TOKENS.format(
 SELECT chunk_id || '-narr' AS qid, question, 'topic' AS topic, ticker, item, left(report_date, 4) AS fiscal_year, concat_ws(' ', chunk_id, (SELECT string_agg(b, ' ' ORDER BY b) FROM near WHERE a = chunk_id)) AS gold_chunk_ids, overlap AS idf_overlap, 'narrative' AS split, 'written, screened' AS source FROM kept""")
 def narrative_eval_set(spark: SparkSession, d: str) -> DataFrame:
     """Questions about passages, screened, with near duplicates as further gold; the questions there are stand in for a model's answers."""
-    c = chunks(spark, d)
-    p = eval_sets.narrative_passages(c, ITEMS)
+    p = eval_sets.narrative_passages(table(spark, d, "chunks").select(*CHUNK), ITEMS)
     q = questions(spark, d).select(F.get("gold_chunk_ids", F.lit(0)).alias("id"), "question").groupBy("id").agg(F.min("question").alias("question"))
     answers = q.select("id", F.concat(F.lit("Here: "), F.to_json(F.struct("question", F.lit("topic").alias("topic")))).alias("answer"))
     links, members = map(staged, labels.similar_sets(p.select("chunk_id", "ticker", "text").toDF("id", "group", "text")))
-    out, _ = eval_sets.narrative_questions(p, answers, c.select(F.col("chunk_id").alias("id"), "text").distinct(), links, members)
+    asked = p.join(small(answers.select(F.col("id").alias("chunk_id"))), "chunk_id", "left_semi").distinct()
+    corpus = once(table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), "text"))
+    out, _ = eval_sets.narrative_questions(asked, answers, corpus, links, members)
     return out.withColumn("gold_chunk_ids", F.array_join("gold_chunk_ids", " "))
 
 

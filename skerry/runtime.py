@@ -98,6 +98,13 @@ def small(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
     return F.broadcast(df) if held_bytes(df) <= most else df
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The distinct rows of ``df``, of which only those of a repeated hash are compared and shuffled; for frames that are cheap to read again, with long rows that seldom repeat."""
+    hashed = df.withColumn("_h", F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)))
+    again = small(hashed.groupBy("_h").agg(F.count("*").alias("n")).filter("n > 1").select("_h"))
+    return hashed.join(again, "_h", "left_anti").drop("_h").unionAll(hashed.join(again, "_h", "left_semi").drop("_h").distinct())
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -420,3 +420,30 @@ def test_near_duplicate_links_read_repeated_rows_as_they_are(spark, rows, tmp_pa
     got = catalog.near_duplicate_links(spark, str(tmp_path))
     assert rows(got) == [("A", "a", "b", round(8 / 9, 6))]
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_once_shuffles_repeated_rows_only(spark, rows):
+    from skerry.runtime import once
+
+    data = [("a", "x", 1.0), ("a", "x", 1.0), ("a", "y", None), ("a", "y", None), ("b", None, 2.0), (None, None, None), (None, None, None), ("c", "z", 3.0)]
+    df = spark.createDataFrame(data, "id string, text string, `n.o` double")
+    assert rows(once(df)) == rows(df.distinct()) and once(df.limit(0)).count() == 0
+    assert rows(once(df.distinct())) == rows(df.distinct())
+
+
+def test_narrative_eval_set_reads_each_passage_once(spark, tmp_path):
+    """Repeated rows of chunks change nothing, and sets of words are made of all passages, whole rows only of those with an answer."""
+    from skerry.plans import catalog
+
+    body = "Freight volumes fell as harbour strikes closed several terminals for weeks. " * 15
+    row = lambda i, t: (i, "A", "10-K", "2024-01-01", "7", None, "text", t, "")
+    kinds = "chunk_id string, ticker string, form string, report_date string, item string, item_title string, kind string, text string, breadcrumb string"
+    data = [row("1", body), row("1", body), row("2", body + "again"), row("3", body.upper()), *(row(f"o{i}", " ".join(f"w{i}x{j}" for j in range(200))) for i in range(20))]
+    spark.createDataFrame(data, kinds).write.parquet(f"{tmp_path}/chunks.parquet")
+    asked = [("q", "Why did A ship less cargo through ports lately?", "A", "narrative", ["1"])] * 2
+    spark.createDataFrame(asked, "qid string, question string, ticker string, split string, gold_chunk_ids array<string>").write.parquet(f"{tmp_path}/eval_narrative.parquet")
+    seen, keep = [], catalog.eval_sets.narrative_questions
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(catalog.eval_sets, "narrative_questions", lambda p, *a: seen.append(p.count()) or keep(p, *a))
+        got = [(r["qid"], r["gold_chunk_ids"]) for r in catalog.narrative_eval_set(spark, str(tmp_path)).collect()]
+    assert got == [("1-narr", "1 2 3")] and seen == [1]
