@@ -18,5 +18,7 @@ def norm(v: Column | str) -> Column:
 
 def unit(v: Column | str) -> Column:
     """``v`` scaled to length 1; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(_c(v), lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    # As the only element of an array the norm is taken once, not for each number.
+    n = F.array(F.nullif(norm(v), F.lit(0.0)))
+    scaled = F.transform(n, lambda m: F.transform(_c(v), lambda x: x.cast("double") / F.coalesce(m, F.lit(1.0))))
+    return F.when(_c(v).isNotNull(), F.get(scaled, F.lit(0)))

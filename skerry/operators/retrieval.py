@@ -24,12 +24,31 @@ def best(df: DataFrame, group: list[str], score: str, tie: str, k: int, rank: st
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 50, without_self: bool = False, places: int = 6, block: int = 20_000) -> DataFrame:
+def _best_columns(s: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row of ``s`` has its ``k`` largest values and all less than ``slack`` below them: row and column numbers, and some more at times.
+
+    The ``k``-th largest of the maxima of groups of columns is no more than the ``k``-th largest value, so only the maxima are partitioned.
+    """
+    n = s.shape[1]
+    groups = n // 16
+    if groups >= 2 * k:
+        top = s[:, : 16 * groups].reshape(len(s), 16, groups).max(1)
+        top = top if 16 * groups == n else np.hstack([top, s[:, 16 * groups :]])
+    else:
+        top = s
+    m = min(k, top.shape[1])
+    edge = np.partition(top, top.shape[1] - m, axis=1)[:, top.shape[1] - m]
+    return np.divmod(np.flatnonzero(s >= (edge - slack)[:, None]), n)
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 50, without_self: bool = False, places: int = 6, block: int = 65_536) -> DataFrame:
     """``(qid, id, score, rnk)``: the exact top ``k`` of ``vectors(id, vec)`` for each of ``queries(qid, qvec)`` by cosine, rounded, ties by id.
 
     Queries and vectors are cut into blocks of about ``block`` rows; a task multiplies one block of
     each as matrices and passes on its ``k`` best a query, so that memory is bounded however many
-    there are. A vector of zeros scores 0; nulls, and vectors of another length than most, are left out.
+    there are. Products in single precision leave out what can't be among the best by more than their
+    error; the others are scored in double precision. A vector of zeros scores 0; nulls, and vectors of
+    another length than most, are left out.
     """
     q = queries.filter("qid IS NOT NULL AND qvec IS NOT NULL").select("qid", F.col("qvec").cast("array<double>").alias("v"))
     x = vectors.filter("id IS NOT NULL AND vec IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("v"))
@@ -43,29 +62,36 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 50, without_se
     q = q.filter(F.size("v") == d).withColumn("bq", mod("qid", bq)).withColumn("bx", every(bx))
     x = x.filter(F.size("v") == d).withColumn("bx", mod("id", bx)).withColumn("bq", every(bq))
     kinds = queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    # An empty frame has the columns' types too: without values pandas would make them numbers.
-    none = {c: pd.Series([], dtype=object if k == "string" else "int64") for c, k in zip(("qid", "id"), kinds)} | {"score": pd.Series([], dtype=float)}
-
-    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            a, b = (np.stack(f["v"].to_numpy()) for f in (left, right))
-            a, b = (m / np.where((n := np.sqrt((m * m).sum(1, keepdims=True))) == 0, 1, n) for m in (a, b))
-            order = right["id"].argsort(kind="stable").to_numpy()
-            b, ids = b[order], right["id"].to_numpy()[order]
-            qids = left["qid"].to_numpy()
-            for i in range(0, len(a), 256):
-                s = np.round(a[i : i + 256] @ b.T, places) + 0.0
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        m = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, d)
+        return m / np.where((n := np.sqrt((m * m).sum(1, keepdims=True))) == 0, 1, n)
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("id")
+            a, b = matrix(left), matrix(right)
+            a4, b4 = a.astype(np.float32), b.astype(np.float32).T.copy()
+            most = k
+            if without_self:  # besides itself, which may come several times, a query has k others
+                most += max(c.as_py() for c in right["id"].value_counts().field("counts"))
+            slack = 2.0 * 10.0**-places + 4e-7 * (d + 8)
+            for i in range(0, len(a), 128):
+                s = a4[i : i + 128] @ b4
+                row, col = _best_columns(s, most, slack)
+                score = np.round(np.einsum("ij,ij->i", a[i + row], b[col]), places) + 0.0
                 if without_self:
-                    s[qids[i : i + 256, None] == ids[None]] = -2
-                n = min(k, s.shape[1])
-                # Of equal scores at the edge the least ids are needed, so the edge's score decides first.
-                edge = -np.partition(-s, n - 1, axis=1)[:, n - 1]
-                row, col = np.nonzero((s >= edge[:, None]) & (s > -2))
-                out.append(pd.DataFrame({"qid": qids[i + row], "id": ids[col], "score": s[row, col]}))
-        return pd.concat(out) if out else pd.DataFrame(none)
-
-    found = q.groupBy("bq", "bx").cogroup(x.groupBy("bq", "bx")).applyInPandas(product, f"qid {kinds[0]}, id {kinds[1]}, score double")
+                    other = np.asarray(pa.compute.not_equal(left["qid"].take(pa.array(i + row)), right["id"].take(pa.array(col))))
+                    row, col, score = row[other], col[other], score[other]
+                by = np.lexsort((col, -score, row))
+                row, col, score = row[by], col[by], score[by]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                found.append((i + row[place < k], col[place < k], score[place < k]))
+        i, j, score = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"qid": left["qid"].take(pa.array(i)), "id": right["id"].take(pa.array(j)), "score": score})
+
+    found = q.groupBy("bq", "bx").cogroup(x.groupBy("bq", "bx")).applyInArrow(product, f"qid {kinds[0]}, id {kinds[1]}, score double")
     return best(found, ["qid"], "score", "id", k)
 
 
@@ -84,7 +110,7 @@ def _impacts(queries: DataFrame, post: DataFrame, docs: DataFrame, terms: DataFr
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = staged(q.join(terms, "term").select("qid", "term", (F.col("qtf") * idf).alias("w")))
     weight = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    hits = post.join(small(asked.select("term").distinct()), "term", "left_semi").join(docs, "id")
+    hits = post.join(small(asked.select("term").distinct()), "term", "left_semi").join(small(docs), "id")
     return asked, hits.select("term", "id", weight.alias("x"))
 
 
@@ -104,50 +130,32 @@ def bm25_scores(queries: DataFrame, post: DataFrame, docs: DataFrame, terms: Dat
 def _best_of_block(terms: np.ndarray, rows: np.ndarray, x: np.ndarray, asked: list[tuple[np.ndarray, np.ndarray]], n: int, k: int, places: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Row numbers (ascending) and scores, for each question of ``asked(terms, weights)``, of a block's ``k`` best rows and all that tie with the last.
 
-    Max-score: a question's terms go by the most that each can add. Once the terms not yet added up
-    can't lift a row over the ``k``-th best so far, only rows already met are completed.
+    Scores of all rows are added up term by term; terms that many rows have are added as whole columns.
     """
-    order = np.lexsort((rows, terms))
+    order = np.argsort(terms, kind="stable")
     terms, rows, x = terms[order], rows[order], x[order]
-    begin = np.flatnonzero(np.diff(terms, prepend=-1))
+    begin = np.flatnonzero(np.diff(terms, prepend=terms[0] - 1)) if len(terms) else np.zeros(0, np.int64)
     end = np.append(begin[1:], len(terms))
-    top = np.maximum.reduceat(x, begin) if len(x) else x
     there = terms[begin]
-    acc = np.zeros(n)
+    wide = {}
+    for t in np.flatnonzero(8 * (end - begin) > n):
+        wide[int(t)] = np.zeros(n)
+        wide[int(t)][rows[begin[t] : end[t]]] = x[begin[t] : end[t]]
+    acc, one = np.zeros((1, n)), np.zeros(n)
+    all_rows = acc[0]
     out = []
     for ts, ws in asked:
-        at = np.searchsorted(there, ts)
-        known = at < len(there)
-        known[known] = there[at[known]] == ts[known]
-        at, ws = at[known], ws[known]
-        most = ws * top[at]
-        by = np.argsort(-most, kind="stable")
-        at, ws, most = at[by], ws[by], most[by]
-        rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)
-        met, closed = [], False
-        for i in range(len(at)):
-            a, e = begin[at[i]], end[at[i]]
-            if closed:
-                j = np.searchsorted(rows[a:e], cand)
-                j[j == e - a] = 0
-                same = rows[a:e][j] == cand
-                acc[cand[same]] += ws[i] * x[a:e][j[same]]
-                continue
-            acc[rows[a:e]] += ws[i] * x[a:e]
-            met.append(rows[a:e])
-            if i + 1 < len(at):
-                if len(met) > 1:
-                    met = [np.union1d(*met)] if len(met) == 2 else met
-                got = acc[met[0]]
-                if len(got) >= k and (edge := -np.partition(-got, k - 1)[k - 1]) > rest[i + 1] + 10.0**-places:
-                    cand, closed = met[0][got + rest[i + 1] >= edge - 10.0**-places], True
-                    acc[met[0][got + rest[i + 1] < edge - 10.0**-places]] = 0.0
-        if not met:
-            out.append((np.zeros(0, np.int64), np.zeros(0)))
-            continue
-        cand = cand if closed else np.unique(np.concatenate(met))
-        score = np.round(acc[cand], places)
-        acc[cand] = 0.0
+        at = np.minimum(np.searchsorted(there, ts), max(0, len(there) - 1))
+        known = there[at] == ts if len(there) else np.zeros(len(ts), bool)
+        all_rows[:] = 0.0
+        for t, w in zip(at[known].tolist(), ws[known].tolist()):
+            if t in wide:
+                np.multiply(wide[t], w, out=one)
+                all_rows += one
+            else:
+                all_rows[rows[begin[t] : end[t]]] += w * x[begin[t] : end[t]]
+        cand = _best_columns(acc, k, 2.0 * 10.0**-places)[1] if known.any() else np.zeros(0, np.int64)
+        score = np.round(all_rows[cand], places)
         keep = score > 0
         if keep.sum() > k:
             keep &= score >= -np.partition(-score, k - 1)[k - 1]
@@ -155,12 +163,11 @@ def _best_of_block(terms: np.ndarray, rows: np.ndarray, x: np.ndarray, asked: li
     return out
 
 
-def bm25_search(queries: DataFrame, post: DataFrame, docs: DataFrame, terms: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, fill: bool = False, places: int = 6, block: int = 65_536, part: int = 4096) -> DataFrame:
+def bm25_search(queries: DataFrame, post: DataFrame, docs: DataFrame, terms: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, fill: bool = False, places: int = 6, block: int = 65_536, part: int = 65_536) -> DataFrame:
     """``(qid, id, score, rnk)``: the ``k`` documents of highest :func:`bm25_scores`, ties by id.
 
     Documents are cut into blocks of about ``block``, questions into parts of about ``part``; each
-    pair is one group's work, in which a document is only scored as far as it can still be among a
-    question's best (:func:`_best_of_block`). With ``fill``, questions that fewer than ``k``
+    pair is one group's work (:func:`_best_of_block`), in which only a question's best come out. With ``fill``, questions that fewer than ``k``
     documents match are filled up with documents of score 0, by id.
     """
     asked, hits = _impacts(queries, post, docs, terms, k1, b)

@@ -615,9 +615,12 @@ def pack_windows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """An index built from all chunks, and all questions searched: hashed words stand in for embeddings, shared words for a reranker."""
-    c = chunks(spark, d)
-    index = files.Index.build(c, providers.embedded(corpus(spark, d), providers.HashEmbedder(), "passage"), "hashed words")
-    index = files.Index(**{t: staged(getattr(index, t)) for t in files.Index.TABLES})
+    c = table(spark, d, "chunks").select(*CHUNK)
+    seen = once(c.select("chunk_id", "breadcrumb", "text")).select(F.col("chunk_id").alias("id"), F.coalesce(text.embed_text("breadcrumb", "text"), "text").alias("text"))
+    index = files.Index.build(c, providers.embedded(seen, providers.HashEmbedder(), "passage"), "hashed words")
+    index.postings = staged(index.postings)
+    index.terms = index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    index = files.Index(**{t: getattr(index, t) if t == "postings" else staged(getattr(index, t)) for t in files.Index.TABLES})
     q = questions(spark, d).select("qid", "question").distinct()
     qvecs = providers.embedded(q.toDF("id", "text"), providers.HashEmbedder(), "query").toDF("qid", "qvec")
     first = staged(plans.search(q, index, qvecs, k=50).select("qid", "id", "rnk", "score", "dense_rank", "sparse_rank", "breadcrumb", "text"))

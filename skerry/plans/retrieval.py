@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.operators import metrics, retrieval
+from skerry.runtime import once
 from skerry.sources.files import Index
 
 ALPHAS = tuple(i / 10 for i in range(11))
@@ -47,7 +48,7 @@ def search(questions: DataFrame, index: Index, qvecs: DataFrame | None = None, k
     hits = ranked(candidate_lists(questions, index, qvecs, candidates, fill), dense and qvecs is not None, sparse).filter(F.col("rnk") <= candidates)
     if logits is not None:
         hits = retrieval.rerank(hits, logits, k, candidates).withColumn("score", F.coalesce("logit", "score"))
-    return retrieval.hydrate(hits.filter(F.col("rnk") <= k), index.chunks.distinct())
+    return retrieval.hydrate(hits.filter(F.col("rnk") <= k), once(index.chunks))
 
 
 def ablation(lists: DataFrame, logits: DataFrame, gold: DataFrame, questions: DataFrame) -> DataFrame:

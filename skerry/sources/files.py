@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skerry.functions.text import embed_text
 from skerry.functions.vectors import unit
 from skerry.operators.retrieval import postings
+from skerry.runtime import once
 
 CHUNK = "doc_id string, chunk_id string, ticker string, company string, form string, report_date string, accession string, item string, item_title string, kind string, text string, breadcrumb string, source_url string, n_chars int"
 NUMERIC_QUESTION = "qid string, question string, ticker string, concept string, fiscal_year string, expected_value double, unit string, gold_chunk_ids array<string>, split string, source string"
@@ -76,8 +77,8 @@ class Index:
     @classmethod
     def build(cls, chunks: DataFrame, vectors: DataFrame, model: str) -> Index:
         """From chunks and their vectors by chunk id; the sparse side sees breadcrumb and text. Repeated rows count once."""
-        chunks = chunks.distinct()
-        corpus = chunks.select(F.col("chunk_id").alias("id"), F.coalesce(embed_text("breadcrumb", "text"), "text").alias("text")).distinct()
+        corpus = once(chunks.select(F.col("chunk_id").alias("id"), F.coalesce(embed_text("breadcrumb", "text"), "text").alias("text")))
+        chunks = once(chunks)
         post, lengths, terms = postings(corpus)
         unit_vectors = vectors.filter("vec IS NOT NULL").select("id", unit("vec").alias("vec")).distinct()
         meta = chunks.agg(F.countDistinct("chunk_id").alias("n_chunks")).withColumn("embed_model", F.lit(model))

@@ -447,3 +447,28 @@ def test_narrative_eval_set_reads_each_passage_once(spark, tmp_path):
         m.setattr(catalog.eval_sets, "narrative_questions", lambda p, *a: seen.append(p.count()) or keep(p, *a))
         got = [(r["qid"], r["gold_chunk_ids"]) for r in catalog.narrative_eval_set(spark, str(tmp_path)).collect()]
     assert got == [("1-narr", "1 2 3")] and seen == [1]
+
+
+def test_best_columns_hold_all_that_could_be_among_the_best():
+    import numpy as np
+
+    s = np.round(np.random.default_rng(1).normal(size=(20, 3333)), 2)
+    for k in (1, 7, 50, 5000):
+        row, col = retrieval._best_columns(s, k, 0.02)
+        got = set(zip(row.tolist(), col.tolist()))
+        edge = -np.sort(-s, axis=1)[:, min(k, 3333) - 1]
+        assert {(r, c) for r in range(20) for c in np.flatnonzero(s[r] >= edge[r] - 0.015).tolist()} <= got and len(got) < 20 * (3 * k + 200)
+
+
+def test_words_that_stand_alone_are_those_of_the_text():
+    import random
+    import re
+
+    from skerry.sources.providers import OverlapReranker
+
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice(["abcd", "abcde", "'", " ", "é", "_", "9999", "ABCD", "-", "cdab"]) for _ in range(n))
+    words = lambda t: {w for w in re.findall(r"[a-z0-9']+", t.lower()) if len(w) > 3}
+    for _ in range(200):
+        q, passages = text(8), [text(12) for _ in range(6)] + ["", q_ if (q_ := text(3)) else ""]
+        assert OverlapReranker().rerank(q, passages) == [len(words(q) & words(p)) / len(words(q)) if words(q) else 0.0 for p in passages]
